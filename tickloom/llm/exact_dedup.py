@@ -71,14 +71,14 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, with all their columns.  Rows that share
     an identifier and a text are one and the same; one of them stays."""
-    kept = copies(docs, text, key).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    d = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
-    w = Window.partitionBy("_sha", key).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))).desc())
-    d = d.join(kept, (d["_sha"] == kept["_sha"]) & d[key].eqNullSafe(kept["_keep"]), "left_semi")
+    kept = copies(docs, text, key).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
+    d = docs.withColumn("__sha", F.sha2(normalised(F.col(text)), 256))
+    w = Window.partitionBy("__sha", key).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))).desc())
+    d = d.join(kept, (d["__sha"] == kept["__sha"]) & d[key].eqNullSafe(kept["__keep"]), "left_semi")
     twice = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
     if twice:
-        d = d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return d.drop("_sha")
+        d = d.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return d.drop("__sha")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import table
 from ._text import U64, codepoints, concatenated, mix64, row_slices, runs, sums_by_row
@@ -258,19 +259,27 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return fit(sample, pieces(vocabulary))
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score of every row; with `carry` all columns of
+    `docs`, and __lang_pred and __score."""
+    pred, prob = ("__lang_pred", "__score") if carry else ("lang_pred", "score")
 
     def run(batches):
         import pyarrow as pa
 
         code = model.code() if model else None
         for batch in batches:
-            for lo, hi in row_slices(batch.column(1), 2 << 20):
-                best, score = predict(model, batch.column(1).slice(lo, hi - lo).to_pylist(), code)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, lang_pred string, score double")
+            column = batch.column(batch.schema.names.index(text))
+            for lo, hi in row_slices(column, 2 << 20):
+                best, score = predict(model, column.slice(lo, hi - lo).to_pylist(), code)
+                kept = batch.slice(lo, hi - lo)
+                if not carry:
+                    kept = kept.select([key])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*(kept.schema.names if carry else ["doc_id"]), pred, prob])
+
+    d = docs if carry else docs.select(key, text)
+    schema = T.StructType([*(d.schema.fields if carry else [T.StructField("doc_id", d.schema[key].dataType)]), T.StructField(pred, T.StringType()), T.StructField(prob, T.DoubleType())])
+    return d.mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,12 +139,12 @@ def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     """The mixture itself: every row of `docs` as often as it is taken (to the
     nearest whole number of times), ordered at random within its shard."""
     took = mix(docs, text, key, source, **options)
-    took = took.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "shards", "place")
-    took = took.withColumn("_times", F.when(F.col("_size") > 0, F.round(F.col("taken") / F.col("_size"))).otherwise(0).cast("int")).where("_times > 0").dropDuplicates(["_id", "_source", "_size"])
-    d = docs.join(took, docs[key].eqNullSafe(took["_id"]) & docs[source].eqNullSafe(took["_source"]) & (words(docs[text]) == took["_size"]))
-    d = d.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    d = d.withColumn("_shard", F.coalesce(F.try_element_at("shards", F.col("_draw") + 1), F.lit(0)))
-    d = d.repartition(partitions(docs.sparkSession), "_shard", F.pmod("place", F.lit(1024))).sortWithinPartitions("_shard", F.xxhash64("place", "_draw"))
+    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "taken", "shards", "place")
+    took = took.withColumn("__times", F.when(F.col("__size") > 0, F.round(F.col("taken") / F.col("__size"))).otherwise(0).cast("int")).where("__times > 0").dropDuplicates(["__id", "__source", "__size"])
+    d = docs.join(took, docs[key].eqNullSafe(took["__id"]) & docs[source].eqNullSafe(took["__source"]) & (words(docs[text]) == took["__size"]))
+    d = d.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    d = d.withColumn("__shard", F.coalesce(F.try_element_at("shards", F.col("__draw") + 1), F.lit(0)))
+    d = d.repartition(partitions(docs.sparkSession), "__shard", F.pmod("place", F.lit(1024))).sortWithinPartitions("__shard", F.xxhash64("place", "__draw"))
     return d.select(*[docs[c] for c in docs.columns])
 
 

@@ -241,8 +241,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` whose identifier is the smallest of their class."""
-    keep = classes(docs, text, key, **options).where("doc_id <=> class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi")
+    keep = classes(docs, text, key, **options).where("doc_id <=> class_id").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(keep, docs[key].eqNullSafe(keep["__keep"]), "left_semi")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
