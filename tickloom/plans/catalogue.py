@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "keyed_totals"
+FLAGSHIP = "combine_latest_add"
 
 
 def query(sql: str | None = None):
@@ -31,3 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
 def keyed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+
+
+from . import stream_queries  # noqa: E402, F401
