@@ -35,6 +35,9 @@ SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 WIDTH = 8
 EPOCHS = 12
+#: n-grams of fewer sampled texts have no vector.
+LEAST_TEXTS = 3
+DECAY = 1e-2
 SEED = 7
 GRAMS = (3, 4, 5)
 LONGEST = 64
@@ -112,6 +115,9 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS,
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     at, cols, vals = _design(texts)
+    often = (np.bincount(cols, minlength=BUCKETS) >= LEAST_TEXTS)[cols]
+    at = np.concatenate([[0], np.cumsum(often)])[at]
+    cols, vals = cols[often], vals[often]
     used, local = np.unique(cols, return_inverse=True)
     local = local.ravel()
     e = rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32)
@@ -141,7 +147,7 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS,
             for x, g, (m, s), rows in ((e, ge, memory[0], here), (w, mean.T @ p, memory[1], ...), (b, p.sum(0), memory[2], ...)):
                 m[rows] = 0.9 * m[rows] + 0.1 * g
                 s[rows] = 0.999 * s[rows] + 0.001 * g * g
-                x[rows] -= rate * (m[rows] / (1 - 0.9**t)) / (np.sqrt(s[rows] / (1 - 0.999**t)) + 1e-7)
+                x[rows] -= rate * DECAY * x[rows] + rate * (m[rows] / (1 - 0.9**t)) / (np.sqrt(s[rows] / (1 - 0.999**t)) + 1e-7)
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = scale * (e @ (w[:, 1] - w[:, 0]))
     return Model(weight, float(b[1] - b[0]))
