@@ -218,13 +218,13 @@ def test_toxicity_on_held_out_rows():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8)))
     bad = ["stupid", "moron", "trash"]
-    texts = [" ".join(word() for _ in range(60)) for _ in range(400)]
-    labels = [i % 5 == 0 for i in range(400)]
+    texts = [" ".join(word() for _ in range(60)) for _ in range(2000)]
+    labels = [i % 5 == 0 for i in range(2000)]
     spoilt = lambda t, ws: t + " " + " ".join(r.choice(ws) for _ in range(4))
-    model = toxicity.fit([spoilt(t, bad) if y else t for t, y in zip(texts[:300], labels, strict=False)], [int(y) for y in labels[:300]], 0.2, epochs=20)
-    score = toxicity.scores(model, [spoilt(t, ["stupidd", "morron", "trashh"]) if y else t for t, y in zip(texts[300:], labels[300:], strict=True)])
-    toxic = [s for s, y in zip(score, labels[300:], strict=True) if y]
-    clean = [s for s, y in zip(score, labels[300:], strict=True) if not y]
+    model = toxicity.fit([spoilt(t, bad) if y else t for t, y in zip(texts[:1600], labels, strict=False)], [int(y) for y in labels[:1600]], 0.2)
+    score = toxicity.scores(model, [spoilt(t, ["stupidd", "morron", "trashh"]) if y else t for t, y in zip(texts[1600:], labels[1600:], strict=True)])
+    toxic = [s for s, y in zip(score, labels[1600:], strict=True) if y]
+    clean = [s for s, y in zip(score, labels[1600:], strict=True) if not y]
     assert sum(a > b for a in toxic for b in clean) >= 0.95 * len(toxic) * len(clean)
     assert len(toxicity.scores(model, [None, "", "x"])) == 3
 

@@ -35,6 +35,8 @@ SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 WIDTH = 8
 EPOCHS = 12
+#: Updates at least: small samples are passed over more often.
+UPDATES = 450
 #: n-grams of fewer sampled texts have no vector.
 LEAST_TEXTS = 3
 DECAY = 1e-2
@@ -126,7 +128,7 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS,
     weigh = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     scale, rate, t = 30.0, 0.03, 0
     memory = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, b)]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-UPDATES // -(-len(y) // 64)))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 64):
             pick = order[lo : lo + 64]
