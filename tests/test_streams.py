@@ -45,6 +45,17 @@ def test_filter_by_reopens_with_latest(spark):
     assert ticks(streams.filter_by(c, s, O, "c", "v")) == [(0, 1), (3, 3), (5, 4)]
 
 
+def test_freeze(spark):
+    s = stream(spark, enumerate([None, False, False, True, False, True]), "p", "boolean")
+    assert ticks(streams.freeze(s, O, "p"), "p") == [(1, False), (2, False), (3, True)]
+
+
+def test_window(spark):
+    s = stream(spark, enumerate([1, 2, None, 4]))
+    got = streams.window(s, O, "v", 3, 2).orderBy("seq").collect()
+    assert [(r.buffer, [(t - T0).microseconds for t in r["index"]]) for r in got] == [([1, 2], [0, 1]), ([1, 2, None], [0, 1, 2]), ([2, None, 4], [1, 2, 3])]
+
+
 def test_ewma(spark):
     s = stream(spark, enumerate([10, 20]))
     assert [round(v, 6) for _, v in ticks(streams.ewma(s, O, "v", 0.5, "e"), "e")] == [10, 15]

@@ -146,6 +146,23 @@ def until_true(s: DataFrame, order: Order, predicate: str) -> DataFrame:
     return s.withColumn("_n", F.coalesce(before, F.lit(0))).where("_n = 0").drop("_n")
 
 
+def freeze(s: DataFrame, order: Order, predicate: str) -> DataFrame:
+    """Ticks from the first with a predicate to the first where it is true, which is the last."""
+    before = order.window().rowsBetween(Window.unboundedPreceding, -1)
+    known = F.count(predicate).over(order.so_far()) > 0
+    ended = F.coalesce(F.max(predicate).over(before), F.lit(False))
+    return s.withColumn("_k", known & ~ended).where("_k").drop("_k")
+
+
+def window(s: DataFrame, order: Order, value: str, n: int, least: int | None = None) -> DataFrame:
+    """The last n values (`buffer`) and their times (`index`), once there are `least` (n) of them."""
+    if n < 1:
+        raise ValueError("a window has at least one tick")
+    ticks = F.collect_list(F.struct(F.col(order.by[0]).alias("t"), F.col(value).alias("v"))).over(order.last_rows(n))
+    out = s.withColumn("_w", ticks).where(F.size("_w") >= (n if least is None else least))
+    return out.withColumn("buffer", F.col("_w.v")).withColumn("index", F.col("_w.t")).drop("_w")
+
+
 def combine_latest(a: DataFrame, b: DataFrame, order: Order, a_value: str, b_value: str, all_valid: bool = True) -> DataFrame:
     """One tick whenever either input ticks, with the latest value of both.
     The inputs share the names of their keys and order columns.  As a union

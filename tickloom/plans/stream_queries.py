@@ -120,6 +120,11 @@ def stream_until_true(spark, d):
     return out(streams.until_true(events(spark, d).withColumn("p", F.col("event_type") == "purchase"), U, "p"))
 
 
+@query(f"WITH {EVENTS}, w AS (SELECT *, count(*) FILTER (WHERE cents > 9000) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM e) SELECT event_id, user_id, cents FROM w WHERE ended = 0 AND cents IS NOT NULL")
+def stream_freeze(spark, d):
+    return out(streams.freeze(events(spark, d).withColumn("p", F.col("cents") > 9000), U, "p"), "cents")
+
+
 def _typed(spark, d, kind, name):
     return events(spark, d).where(F.col("event_type") == kind).select("user_id", "us", "event_id", F.col("cents").alias(name))
 
