@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from tickloom.functions import scalar as S
-from tickloom.operators import streams
+from tickloom.operators import fold, streams
 from tickloom.operators.streams import Order
 
 O = Order(keys=("k",), by=("ts", "seq"))
@@ -30,7 +30,7 @@ def test_dedup(spark):
 
 def test_throttle(spark):
     s = stream(spark, [(0, 1), (1, 2), (2, 3), (9, 4)])
-    assert ticks(streams.throttle(s, O, 4)) == [(0, 1), (4, 3), (9, 4)]
+    assert ticks(fold.throttle(s, O, 4)) == [(0, 1), (4, 3), (9, 4)]
 
 
 def test_gate(spark):
@@ -58,7 +58,7 @@ def test_window(spark):
 
 def test_ewma(spark):
     s = stream(spark, enumerate([10, 20]))
-    assert [round(v, 6) for _, v in ticks(streams.ewma(s, O, "v", 0.5, "e"), "e")] == [10, 15]
+    assert [round(v, 6) for _, v in ticks(fold.ewma(s, O, "v", 0.5, "e"), "e")] == [10, 15]
 
 
 def test_rounding(spark):
@@ -68,5 +68,5 @@ def test_rounding(spark):
 
 def test_empty(spark):
     s = stream(spark, [(0, 1)]).where("false")
-    for df in (streams.dedup(s, O, "v"), streams.take(s, O, 2), streams.throttle(s, O, 4), streams.merge([s, s], O), streams.race([s, s], O), streams.ewma(s, O, "v", 0.5)):
+    for df in (streams.dedup(s, O, "v"), streams.take(s, O, 2), fold.throttle(s, O, 4), streams.merge([s, s], O), streams.race([s, s], O), fold.ewma(s, O, "v", 0.5)):
         assert df.count() == 0

@@ -59,15 +59,16 @@ def array_std(a: Column, sample: bool = False) -> Column:
     return F.when(n > 0, F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n))
 
 
-def quantile(a: Column, q: float) -> Column:
-    """Linear between the two nearest ranks."""
+def quantile(a: Column, q: float, method: str = "linear") -> Column:
+    """Between the two nearest ranks: linear, lower, higher, midpoint or nearest (of two, the even rank)."""
     if not 0 <= q <= 1:
         raise ValueError("quantile out of range")
     s = F.sort_array(a)
     at = (F.size(a) - 1) * F.lit(float(q))
-    low = F.floor(at).cast("int")
-    x, y = F.get(s, low).cast("double"), F.get(s, F.least(low + 1, F.size(a) - 1)).cast("double")
-    return F.when(F.size(a) > 0, x + (y - x) * (at - low))
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    x, y = F.get(s, low).cast("double"), F.get(s, high).cast("double")
+    found = {"linear": x + (y - x) * (at - low), "lower": x, "higher": y, "midpoint": (x + y) / 2, "nearest": F.get(s, F.rint(at).cast("int")).cast("double")}
+    return F.when(F.size(a) > 0, found[method])
 
 
 def cumulative_sum(a: Column) -> Column:
@@ -81,3 +82,22 @@ def correlation(a: Column, b: Column) -> Column:
     db = F.transform(b, lambda x: x - array_mean(b))
     dot = lambda x, y: array_sum(F.zip_with(x, y, lambda p, q: p * q))
     return F.try_divide(dot(da, db), F.sqrt(dot(da, da) * dot(db, db)))
+
+
+def keys_where_true(m: Column) -> Column:
+    """The keys of a map whose value is true."""
+    return F.map_keys(F.map_filter(m, lambda _, v: v))
+
+
+def where_true(m: Column) -> Column:
+    return F.map_filter(m, lambda _, v: v)
+
+
+def tsl_to_tsd(a: Column, keys: list[str]) -> Column:
+    """A list's items under names; null items are left out."""
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), a), lambda _, v: v.isNotNull())
+
+
+def flatten_values(m: Column) -> Column:
+    """All values of a map of lists."""
+    return F.flatten(F.map_values(m))

@@ -159,3 +159,50 @@ def temporal_bucket(us: Column, quantum: int, origin: int = 0) -> tuple:
     """The half-open range of fixed width that holds an instant."""
     low = temporal_floor(us, quantum, origin)
     return low, low + quantum, F.lit(True), F.lit(False)
+
+
+# Durations in microseconds, with Python's floor rules.
+
+
+def days(us: Column) -> Column:
+    return F.floor(us / F.lit(86_400_000_000).cast("decimal(20,0)")).cast("long")
+
+
+def seconds(us: Column) -> Column:
+    """The whole seconds of the day that is left."""
+    return F.floor((us - days(us) * 86_400_000_000) / 1_000_000).cast("long")
+
+
+def microseconds(us: Column) -> Column:
+    return F.pmod(us, F.lit(1_000_000)).cast("long")
+
+
+def total_seconds(us: Column) -> Column:
+    return us.cast("double") / 1_000_000
+
+
+def day_of_month(us: Column) -> Column:
+    return day(us)
+
+
+def month_of_year(us: Column) -> Column:
+    return month(us)
+
+
+# An instant with the zone that it is shown in.
+
+
+def at_zone(us: Column, zone: Column | str) -> Column:
+    return F.struct(us.alias("instant"), (zone if isinstance(zone, Column) else F.lit(zone)).alias("zone"))
+
+
+def convert_zone(zoned: Column, zone: Column | str) -> Column:
+    return at_zone(zoned["instant"], zone)
+
+
+def to_instant(zoned: Column) -> Column:
+    return zoned["instant"]
+
+
+def last_modified_date(us: Column) -> Column:
+    return date_of(us)

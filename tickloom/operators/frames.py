@@ -29,9 +29,16 @@ def replay(df: DataFrame, date: str, as_of: str, keys: Sequence[str], until: Col
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", suffix: str = "_right") -> DataFrame:
-    """Equality join; columns of the right side that clash get the suffix."""
-    right = right.select(*[F.col(c).alias(c if c in on or c not in left.columns else c + suffix) for c in right.columns])
-    return left.join(right, list(on), HOWS[how])
+    """Equality join; columns of the right side that clash get the suffix.  The
+    keys are the left side's, so rows of the right side alone have null keys."""
+    named = {c: c if c in on or c not in left.columns else c + suffix for c in right.columns}
+    if how not in ("right", "full"):
+        return left.join(right.select(*[F.col(c).alias(n) for c, n in named.items()]), list(on), HOWS[how])
+    right = right.select(*[F.col(c).alias(f"__on{on.index(c)}" if c in on else n) for c, n in named.items()])
+    condition = F.lit(True)
+    for i, c in enumerate(on):
+        condition = condition & (left[c] == right[f"__on{i}"])
+    return left.join(right, condition, HOWS[how]).drop(*[f"__on{i}" for i in range(len(on))])
 
 
 def matching(df: DataFrame, **fields) -> DataFrame:

@@ -110,3 +110,36 @@ def symmetric_difference(*sets: DataFrame) -> DataFrame:
         s = s.distinct()
         out = s if out is None else out.union(s)
     return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
+
+
+def make_tsd(pairs: DataFrame, key: str, value: str, removed: str | None = None, op: str = "op") -> DataFrame:
+    """Upserts of a dictionary from a stream of keys and values (see
+    `streams.combine_latest`).  A new key does not remove the one before; a true
+    `removed` removes the key."""
+    gone = F.lit(False) if removed is None else F.coalesce(F.col(removed), F.lit(False))
+    out = pairs.where(F.col(key).isNotNull()).withColumn(op, F.when(gone, "remove").otherwise("set"))
+    return out.withColumn(value, F.when(F.col(op) == "set", F.col(value)))
+
+
+def combine_tsd(s: DataFrame, keys: str, values: str, key: str = "key", value: str = "value") -> DataFrame:
+    """A dictionary's rows from one array of keys and one of values."""
+    rest = [c for c in s.columns if c not in (keys, values)]
+    pairs = F.arrays_zip(F.col(keys).alias("k"), F.col(values).alias("v"))
+    return s.select(*rest, F.explode(pairs).alias("__p")).select(*rest, F.col("__p.k").alias(key), F.col("__p.v").alias(value))
+
+
+def flatten_map(s: DataFrame, column: str, key: str = "key", value: str = "value") -> DataFrame:
+    """The rows of a column of maps."""
+    return s.select(*[c for c in s.columns if c != column], F.explode(column).alias(key, value))
+
+
+def make_map(d: DataFrame, by: Sequence[str], key: str, value: str, name: str = "map") -> DataFrame:
+    """One map for each of `by`: a snapshot as a value.  A map holds its keys in
+    one row, so this is for dictionaries that fit in one."""
+    return d.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col(value))))).alias(name))
+
+
+def race_by_key(d: DataFrame, by: Sequence[str], key: str, fields: Sequence[str]) -> DataFrame:
+    """For each of `by` and each field the value of the first key, in the keys'
+    order, that has one.  One field is a race of values, several one of bundles."""
+    return d.groupBy(*by).agg(*[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(key))).alias(f) for f in fields])

@@ -3,8 +3,8 @@
 A stream is a DataFrame with one row for each tick.  `Order` names its key
 columns and its order (time, then a sequence number).  All operators add the
 keys to the window's partitioning, so keyed streams run in parallel, and a
-stream without keys is one window: give it keys, or use the bucketed forms of
-`operators.frames`, where it is large.
+stream without keys is one window: give it keys where it is large, or take its
+sums with `operators.fold.running_in_blocks`.
 """
 
 from __future__ import annotations
@@ -236,45 +236,6 @@ def resample(s: DataFrame, order: Order, value: str, micros: int) -> DataFrame:
     return out.select(*order.keys, F.timestamp_micros(F.col("slot") * micros).alias(order.by[0]), value)
 
 
-def ewma(s: DataFrame, order: Order, value: str, alpha: float, name: str = "ewma") -> DataFrame:
-    """Exponentially weighted moving average; the first tick starts it.
-
-    A key's ticks are one ordered array in the JVM and are folded there."""
-    rows = s.groupBy(*order.keys).agg(F.sort_array(F.collect_list(F.struct(*order.by, F.col(value).alias("_v"), F.struct(*[c for c in s.columns if c not in order.keys]).alias("_row")))).alias("a"))
-    start = F.array().cast("array<double>")
-    folded = F.aggregate("a", start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["_v"].cast("double")).otherwise(F.lit(alpha) * x["_v"] + (1 - alpha) * F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))))))
-    rows = rows.withColumn("e", folded).select(*order.keys, F.explode(F.arrays_zip("a", "e")).alias("z"))
-    return rows.select(*order.keys, "z.a._row.*", F.col("z.e").alias(name))
-
-
-def throttle(s: DataFrame, order: Order, micros: int) -> DataFrame:
-    """At most one tick a period: a tick opens a period, and the last of the
-    ticks inside comes out at its end and opens the next."""
-    t = order.by[0]
-    fields = s.schema
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(list(order.by), kind="stable").reset_index(drop=True)
-        span = pd.Timedelta(microseconds=micros)
-        out, due, held = [], None, None
-        for r in pdf.to_dict("records"):
-            while due is not None and held is not None and r[t] >= due:
-                out.append(held | {t: due})
-                held, due = None, due + span
-            if due is None or r[t] >= due:
-                out.append(r)
-                due, held = r[t] + span, None
-            else:
-                held = r
-        if held is not None:
-            out.append(held | {t: due})
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return s.groupBy(*order.keys).applyInPandas(run, fields)
-
-
 def gate(condition: DataFrame, s: DataFrame, order: Order, flag: str, value: str) -> DataFrame:
     """Ticks of s; those under a false condition wait until it turns true and
     then follow one microsecond apart, in order."""
@@ -294,3 +255,40 @@ def gate(condition: DataFrame, s: DataFrame, order: Order, flag: str, value: str
 def schedule(spark, start: str, count: int, micros: int) -> DataFrame:
     """A true signal at each period."""
     return spark.range(count).select(F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("id") * micros).alias("ts"), F.col("id").alias("seq"), F.lit(True).alias("signal"))
+
+
+def window_values(s: DataFrame, order: Order, value: str, n: int, least: int | None = None, pad=0) -> DataFrame:
+    """`buffer` always has n values: the missing ones of the first windows are `pad`, at the end."""
+    out = window(s, order, value, n, least).drop("index")
+    kind = dict(s.dtypes)[value]
+    return out.withColumn("buffer", F.concat("buffer", F.array_repeat(F.lit(pad).cast(kind), F.lit(n) - F.size("buffer"))))
+
+
+def modified(s: DataFrame, order: Order, name: str = "modified") -> DataFrame:
+    """True at each time with a tick, and false a microsecond later unless there is a tick then.
+    The start's own false is left out, as a batch has no start."""
+    t = order.by[0]
+    us = F.col(t) if dict(s.dtypes)[t] == "bigint" else F.unix_micros(F.col(t).cast("timestamp"))
+    times = s.select(*order.keys, us.alias("__u")).distinct()
+    times = times.withColumn("__n", F.lead("__u").over(Window.partitionBy(*order.keys).orderBy("__u")))
+    pulse = F.struct(F.col("__u").alias("u"), F.lit(True).alias("m"))
+    end = F.struct((F.col("__u") + 1).alias("u"), F.lit(False).alias("m"))
+    both = F.when(F.col("__n") == F.col("__u") + 1, F.array(pulse)).otherwise(F.array(pulse, end))
+    out = times.select(*order.keys, F.explode(both).alias("__x"))
+    back = F.col("__x.u") if dict(s.dtypes)[t] == "bigint" else F.timestamp_micros("__x.u")
+    return out.select(*order.keys, back.alias(t), F.col("__x.m").alias(name))
+
+
+def time_in_range(s: DataFrame, order: Order, start: str, end: str, name: str = "in_range") -> DataFrame:
+    """LT, EQ or GT for a time before, in or after [start, end]: at each tick of
+    the bounds, and when time itself reaches the start or passes the end before
+    the key's next tick.  The order's first column and the bounds are microseconds (bigint).
+    A start after its end is an error."""
+    t = F.col(order.by[0])
+    s = s.withColumn("__n", F.lead(order.by[0]).over(order.window()))
+    ahead = lambda x: (x > t) & (F.col("__n").isNull() | (x < F.col("__n")))
+    times = F.array(t, F.when(ahead(F.col(start)), F.col(start)), F.when(ahead(F.col(end) + 1), F.col(end) + 1))
+    s = s.withColumn("__t", F.explode(F.array_distinct(F.array_compact(times))))
+    at = F.col("__t")
+    result = F.when(F.col(start) > F.col(end), F.raise_error(F.lit("a range starts after its end")).cast("string")).when(at < F.col(start), "LT").when(at <= F.col(end), "EQ").otherwise("GT")
+    return s.withColumn(name, result).withColumn(order.by[0], at).drop("__t", "__n")

@@ -33,4 +33,4 @@ def keyed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
 
 
-from . import stream_queries, value_queries  # noqa: E402, F401
+from . import graph_queries, stream_queries, value_queries  # noqa: E402, F401

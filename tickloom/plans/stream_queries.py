@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import frames, keyed, streams
+from ..operators import fold, frames, keyed, streams
 from ..operators.streams import Order
 from .catalogue import query, table
 
@@ -162,7 +162,7 @@ def analytics_resample(spark, d):
 SELECT event_id, user_id, p, CAST(cents AS DOUBLE) AS v FROM o WHERE p = 1 UNION ALL
 SELECT o.event_id, o.user_id, o.p, 0.2 * o.cents + 0.8 * r.v FROM r JOIN o ON o.user_id = r.user_id AND o.p = r.p + 1) SELECT event_id, user_id, round(v, 4) AS ewma FROM r""")
 def analytics_ewma(spark, d):
-    return out(streams.ewma(events(spark, d), U, "cents", 0.2), F.round("ewma", 4).alias("ewma"))
+    return out(fold.ewma(events(spark, d), U, "cents", 0.2), F.round("ewma", 4).alias("ewma"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT *, stddev_pop(cents) OVER {RUN} AS s, var_pop(cents) OVER {RUN} AS v FROM e) SELECT event_id, user_id, round(s + 3e-7, 5) AS std, round(v + 1e-6, 4) AS var FROM w")
@@ -279,7 +279,7 @@ def json_as_int(spark, d):
 
 def stream_throttle(spark, d):
     e = events(spark, d).withColumn("ts", F.timestamp_micros("us")).select("user_id", "ts", "event_id", "cents")
-    return streams.throttle(e, Order(("user_id",), ("ts", "event_id")), 3_600_000_000)
+    return fold.throttle(e, Order(("user_id",), ("ts", "event_id")), 3_600_000_000)
 
 
 def stream_gate(spark, d):
