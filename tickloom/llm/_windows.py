@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._spark import partitions, written
 from ._text import U64, RangeHash, buffers, concatenated, runs, sliding_min, slices
 
-STEP = 1 << 21
+STEP = 1 << 20
 CAP = 1024
 CHUNK = 2 << 20
 LAST = (1 << 63) - 1  # stands for a null identifier: after all others
@@ -124,42 +124,46 @@ def refine(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, window: in
     the positions `depth` later, which earlier rounds have refined."""
     n, depth = len(symbols), first_depth
     order = np.argsort(symbols, kind="stable")
-    pointer = np.empty(n, np.int64)
+    pointer = np.empty(n, np.int32)  # a call's strings are far below 2 GB
     pointer[order] = _slots(symbols[order])
-    place = np.arange(n)
+    del order
+    place = np.arange(n, dtype=np.int32)
     open_ = place[place + depth <= ends]
+    del place
     while depth < window:
         skip = min(depth, window - depth)
         open_ = open_[open_ + depth + skip <= ends[open_]]
         size = np.bincount(pointer[open_], minlength=n)
         live = open_[size[pointer[open_]] > 1]
+        del size
         old = pointer[live]
         by = np.lexsort((pointer[live + skip], old))
         live, old = live[by], old[by]
-        key = old * (n + 1) + pointer[live + skip]
-        new = old + _slots(key) - _slots(old)
-        pointer[live] = new
+        del by
+        key = old.astype(np.int64) * (n + 1) + pointer[live + skip]
+        pointer[live] = old + _slots(key) - _slots(old)
+        del key
         depth += skip
     mine = pointer[starts]
-    earliest = np.full(n, n, np.int64)
-    np.minimum.at(earliest, mine, starts)
+    earliest = np.full(n, n, np.int32)
+    np.minimum.at(earliest, mine, starts.astype(np.int32))
     return earliest[mine]
 
 
 def _slots(ordered: np.ndarray) -> np.ndarray:
     """For each place of a sorted array the place of its first equal."""
     if not len(ordered):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
+    return np.maximum.accumulate(np.where(new, np.arange(len(ordered), dtype=np.int32), np.int32(0)))
 
 
 def _judge(doc: np.ndarray, strings: list[bytes], kind: Kind) -> list[np.ndarray]:
     """For each string (in order of document and position) which of its windows are repeated."""
     symbols, first, depth = kind.numbers(strings)
     size = np.diff(first)
-    ends = np.repeat(first[1:], size)
+    ends = np.repeat(first[1:].astype(np.int32), size)
     count = size - kind.window + 1
     starts = concatenated(first[:-1], count)
     early = refine(symbols, ends, starts, kind.window, depth)

@@ -32,7 +32,7 @@ GRAM = 32
 
 
 def _numbers(strings: list[bytes]):
-    data = np.frombuffer(b"".join(strings) + b"\0\0\0", np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(strings) + b"\0\0\0", np.uint8).astype(np.uint32)
     n = len(data) - 3
     four = data[:n] << 24 | data[1 : n + 1] << 16 | data[2 : n + 2] << 8 | data[3:]
     return four, np.concatenate([[0], np.cumsum([len(s) for s in strings])]), 4
