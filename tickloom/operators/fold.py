@@ -165,3 +165,36 @@ def running_in_blocks(s: DataFrame, order: Order, micros: int, **sums: str) -> D
     joined = parts.join(base, same, "left")
     whole = lambda n: F.when(F.col(n).isNull(), F.col(f"__{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0)))
     return joined.select(*[c for c in s.columns if c != "__b"], *[whole(n).alias(n) for n in sums])
+
+
+def feedback(s: DataFrame, order: Order, value: str, function: Callable, initial, field: T.StructField) -> DataFrame:
+    """Each tick with function(value, the output of the tick before), from `initial` on."""
+
+    def step(state, _, rows):
+        for r in rows:
+            state["x"] = function(r[value], state["x"])
+            yield r | {field.name: state["x"]}
+
+    return fold(s, order, lambda: {"x": initial}, step, _rest(s, order) + [field])
+
+
+def dedup_close(s: DataFrame, order: Order, value: str, tolerance: float = 1e-15) -> DataFrame:
+    """Floats that differ from the last one that came out by more than the tolerance.
+    A NaN after a NaN, and a null after a null, are repeats."""
+
+    def step(state, _, rows):
+        for r in rows:
+            x, last = r[value], state.get("x", state)
+            if last is state:
+                new = True
+            elif x is None or last is None:
+                new = x is not last
+            elif x != x or last != last:
+                new = (x == x) or (last == last)
+            else:
+                new = x != last and not abs(x - last) <= tolerance
+            if new:
+                state["x"] = x
+                yield r
+
+    return fold(s, order, dict, step, _rest(s, order))
