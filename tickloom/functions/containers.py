@@ -41,7 +41,7 @@ def default(c: Column, otherwise) -> Column:
     return F.coalesce(c, F.lit(otherwise))
 
 
-# Statistics of one array of numbers; an empty array gives null.
+# Statistics of one array of numbers; of an empty array null, where nothing else is said.
 
 
 def array_sum(a: Column) -> Column:
@@ -53,10 +53,11 @@ def array_mean(a: Column) -> Column:
 
 
 def array_std(a: Column, sample: bool = False) -> Column:
-    """The population's deviation, or the sample's (null for one value)."""
+    """The population's deviation, or the sample's; NaN for too few values."""
     n = F.size(a) - (1 if sample else 0)
     mean = array_mean(a)
-    return F.when(n > 0, F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n))
+    deviation = F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n)
+    return F.when(a.isNotNull(), F.when(n > 0, deviation).otherwise(F.lit(float("nan"))))
 
 
 def quantile(a: Column, q: float, method: str = "linear") -> Column:
@@ -77,11 +78,12 @@ def cumulative_sum(a: Column) -> Column:
 
 
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson's coefficient of two arrays of one length; null without variance."""
+    """Pearson's coefficient of two arrays of one length; NaN without variance."""
     da = F.transform(a, lambda x: x - array_mean(a))
     db = F.transform(b, lambda x: x - array_mean(b))
     dot = lambda x, y: array_sum(F.zip_with(x, y, lambda p, q: p * q))
-    return F.try_divide(dot(da, db), F.sqrt(dot(da, da) * dot(db, db)))
+    found = F.try_divide(dot(da, db), F.sqrt(dot(da, da) * dot(db, db)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(found, F.lit(float("nan"))))
 
 
 def keys_where_true(m: Column) -> Column:
@@ -101,3 +103,10 @@ def tsl_to_tsd(a: Column, keys: list[str]) -> Column:
 def flatten_values(m: Column) -> Column:
     """All values of a map of lists."""
     return F.flatten(F.map_values(m))
+
+
+def array_get_item(a: Column, *at: int) -> Column:
+    """An item of nested arrays; an index below 0 counts from the end."""
+    for i in at:
+        a = F.get(a, F.lit(i) if i >= 0 else F.size(a) + i)
+    return a

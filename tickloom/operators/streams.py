@@ -119,10 +119,15 @@ def rolling(s: DataFrame, order: Order, n: int, least: int | None = None, **aggr
     return out.where(F.col("_p") >= (least or n) - 1).drop("_p")
 
 
-def rolling_time(s: DataFrame, order: Order, micros: int, **aggregates: Column) -> DataFrame:
-    """Aggregates of the ticks of the last so many microseconds, both ends included."""
+def rolling_time(s: DataFrame, order: Order, micros: int, least_micros: int = 0, **aggregates: Column) -> DataFrame:
+    """Aggregates of the ticks of the last so many microseconds, both ends
+    included, once a window's first and last tick are `least_micros` apart."""
     w = order.last_time(micros)
-    return s.withColumns({name: c.over(w) for name, c in aggregates.items()})
+    out = s.withColumns({name: c.over(w) for name, c in aggregates.items()})
+    if least_micros <= 0:
+        return out
+    t = F.unix_micros(F.col(order.by[0]).cast("timestamp"))
+    return out.withColumn("_e", t - F.min(t).over(w)).where(F.col("_e") >= least_micros).drop("_e")
 
 
 def diff(s: DataFrame, order: Order, value: str, name: str = "diff") -> DataFrame:
@@ -292,3 +297,14 @@ def time_in_range(s: DataFrame, order: Order, start: str, end: str, name: str =
     at = F.col("__t")
     result = F.when(F.col(start) > F.col(end), F.raise_error(F.lit("a range starts after its end")).cast("string")).when(at < F.col(start), "LT").when(at <= F.col(end), "EQ").otherwise("GT")
     return s.withColumn(name, result).withColumn(order.by[0], at).drop("__t", "__n")
+
+
+def freeze_by(predicate: DataFrame, s: DataFrame, order: Order, flag: str, value: str) -> DataFrame:
+    """Ticks of s from the first predicate on until a true one.  At a true
+    predicate the latest value of s comes out, as the last tick, if it has one."""
+    both = predicate.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value)).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value))
+    cycles = both.groupBy(*order.keys, *order.by).agg(F.max(flag).alias(flag), F.max(value).alias(value))
+    so_far, before = order.so_far(), order.window().rowsBetween(Window.unboundedPreceding, -1)
+    out = cycles.withColumns({"_k": F.count(flag).over(so_far) > 0, "_e": F.coalesce(F.max(flag).over(before), F.lit(False)), "_v": F.last(value, ignorenulls=True).over(so_far)})
+    shown = F.col(value).isNotNull() | F.coalesce(F.col(flag), F.lit(False))
+    return out.where(F.col("_k") & ~F.col("_e") & shown & F.col("_v").isNotNull()).select(*order.keys, *order.by, F.col("_v").alias(value))
