@@ -168,6 +168,20 @@ def test_near_dedup_chain_of_edits(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.classes(X.frame(spark, rows)).collect()} == want
 
 
+def test_near_dedup_templated_family(spark):
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = [*template]
+        for slot in r.sample(range(2, 118, 5), 3):
+            words[slot] = f"v{slot}x{r.randrange(4)}"
+        rows.append((i, " ".join(words), None, None, None, None, None))
+    want = X.near_classes([x[:2] for x in rows])
+    assert 1 < len(set(want.values())) < 300
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(X.frame(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scoring(spark, order):
     rows = [r for r in X.documents() if r[0] is not None][:-1]

@@ -10,12 +10,17 @@ the bound is doubled where one is empty.  Two texts agree on a coordinate with
 the probability of their weighted Jaccard similarity.
 
 Texts with the same words form one node.  Nodes that agree on all rows of a
-band meet in a bucket.  No pairs are emitted within a bucket: each node is
-paired with the bucket's centre, the node that meets most others over all
-bands; nodes whose pairing fails are paired along a hashed order of the
-bucket (in parts of at most `PART` nodes).  Each pair is held against the
-exact similarity of the two whole texts, and only pairs of `THRESHOLD` or
-more link.  Classes are connected components.
+band meet in a bucket.  Within a bucket, centres are paired with all others:
+first the node that meets most others over all bands, then in rounds up to
+`CENTRES` more, from the smallest components of the bucket, until the bucket is
+one component or every node was a centre.  A centre leaves its bucket after its
+round.  Left out are only pairs that are connected already and pairs that cannot
+link: one minus the similarity is a metric, so two nodes whose similarities to
+the bucket's first centre differ by more than 1 - `THRESHOLD` are too far apart.
+So all pairs that meet and link are connected in the end.  Where many texts of
+a bucket stay unlinked this takes as many pairs as the square of their number.
+Each pair is held against the exact similarity of the two whole texts, and only
+pairs of `THRESHOLD` or more link.  Classes are connected components.
 
 Special cases: texts without words (null, empty, white space) form one class;
 identifiers must not be shared by different texts (such rows count as the
@@ -39,6 +44,8 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 5
 PART = 512
+#: Centres of a bucket in a round at most.
+CENTRES = 256
 _PLACE = constants(64, 31)
 _BAND = constants(64, 47)
 
@@ -214,6 +221,30 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _pairs(live: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
+    """a, b, centre: each centre with the nodes of its bucket that it may link
+    to and is not yet connected with; every pair once.  Buckets are dealt out
+    in parts of `PART`, each with a copy of the centres."""
+    parts = F.ceil(F.col("met") / PART).cast("int")
+    c = centres.select("bucket", F.col("node").alias("centre"), F.col("root").alias("own"), F.col("near").alias("c_near"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = live.withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), parts).cast("int")).join(c, ["bucket", "part"])
+    rows = rows.where(F.col("root") != F.col("own")).where(F.coalesce(F.abs(F.col("near") - F.col("c_near")) <= 1 - threshold + 1e-9, F.lit(True)))
+    return rows.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre"))
+
+
+def _nearness(live: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with their similarity to the first centre of their bucket."""
+    first = live.join(centres.select("bucket", F.col("node").alias("centre")), "bucket").where("node <> centre")
+    first = first.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
+    return first.drop("near").join(found, ["a", "b"], "left").withColumnRenamed("similarity", "near").select(live.columns)
+
+
+def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (a, b) as links between the components of their ends."""
+    a, b = root.select(F.col("node").alias("a"), F.col("root").alias("ra")), root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return links.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest identifier of the class) of every row."""
     s = written(signed(docs, text, key, bands, rows), "signatures")
@@ -223,18 +254,33 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     met = written(met.join(sizes, "bucket"), "buckets")
     degree = met.groupBy("node").agg(F.sum("met").alias("degree"))
-    centre = met.join(degree, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("node").alias("centre"))).alias("c")).select("bucket", F.col("c.centre").alias("centre"))
-    stars = met.join(centre, "bucket").where("node <> centre").select("node", "centre").distinct()
-    stars = written(verified(stars, docs, text, key, threshold), "stars")
-    failed = stars.where("NOT link").select("node").distinct()
-    again = met.join(failed, "node", "left_semi").withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("met") / PART)))
-    order = Window.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket"), "node")
-    chain = again.select("node", F.lag("node").over(order).alias("prev")).where("prev IS NOT NULL")
-    chain = chain.select(F.greatest("node", "prev").alias("node"), F.least("node", "prev").alias("centre")).distinct()
-    known = stars.select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre"))
-    chain = written(verified(chain.join(known, ["node", "centre"], "left_anti"), docs, text, key, threshold), "chains")
-    linked = stars.where("link").select(F.col("node").alias("a"), F.col("centre").alias("b")).union(chain.where("link").select("node", "centre"))
-    root = components(linked)
+    live = met.join(degree, "node").select("bucket", "node", "met", "degree", F.col("node").alias("root"), F.lit(1).cast("long").alias("same"), F.lit(None).cast("double").alias("near"))
+    root, checked, count = degree.select("node", F.col("node").alias("root")), None, 1
+    while True:
+        live = written(live, "live")
+        if live.isEmpty():
+            break
+        order = Window.partitionBy("bucket").orderBy("same", F.desc("degree"), "node")
+        centres = written(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).drop("place"), "centres")
+        pairs = _pairs(live, centres, threshold)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        found = verified(pairs.select(F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "centre"), docs, text, key, threshold)
+        found = found.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.max("similarity").alias("similarity"))
+        found = written(found, "checked")
+        if checked is None:
+            live = _nearness(live, centres, found)
+        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
+        live = live.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        linked = written(_merged(root, found.where(F.col("similarity") >= threshold)), "links")
+        if not linked.isEmpty():
+            moved = components(linked).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            root = written(root.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            live = live.drop("root").join(root, "node")
+        groups = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("same"))
+        several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket")
+        live = live.drop("same").join(groups.join(several, "bucket"), ["bucket", "root"]).select("bucket", "node", "met", "degree", "root", "same", "near")
+        count = min(CENTRES, 16 * count)
     of = nodes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
     return s.join(of, ["h1", "h2"]).select("doc_id", "class_id")
 
