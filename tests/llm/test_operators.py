@@ -202,6 +202,12 @@ def test_lm_scoring(spark, order):
         assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(sum(math.log(s(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))))
 
 
+def test_lm_scoring_registers_trigrams(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.log_score) for r in lm_scoring.op3_lm_scoring(spark, sf).collect()}
+    assert got == {(r.doc_id, r.log_score) for r in lm_scoring.score(spark.read.parquet(f"{sf}/documents.parquet"), order=3).collect()}
+
+
 def test_language_id(spark):
     sf = "/root/testdata/sf0.01"
     truth = dict(duckdb.sql(f"select doc_id, lang from '{sf}/documents.parquet'").fetchall())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._spark import partitions, table
 from ._text import U64, buffers, constants, mix64, sums_by_row, word_bounds, word_hashes
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 CHUNK_BYTES = 6 << 20
 SPREAD = 4  # hash partitions for each shuffle partition
