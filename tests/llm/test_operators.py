@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from tickloom.llm import bpe, byte_repeats, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
 from tickloom.llm._windows import refine
@@ -249,6 +250,19 @@ def test_toxicity_on_held_out_rows():
     assert len(toxicity.scores(model, [None, "", "x"])) == 3
 
 
+def test_toxicity_reads_long_runs():
+    r = random.Random(3)
+    run = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(300))
+    for at in (0, 63, 64, 150, 299):
+        changed = run[:at] + "x" + run[at + 1 :]
+        one, other = toxicity.bags([run]), toxicity.bags([changed])
+        assert sorted(one.buckets) != sorted(other.buckets)
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0)
+    model.weight[toxicity.bags([run[256:]]).buckets] = 1.0
+    assert toxicity.scores(model, [run])[0] > 0.5 == toxicity.scores(model, [run[:64]])[0]
+    assert len(toxicity.bags([run]).which) == 5 and len(toxicity.bags(["a" * 64, "b" * 65]).which) == 3
+
+
 def test_empty_tables(spark):
     d = X.frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

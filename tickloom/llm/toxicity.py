@@ -2,7 +2,9 @@
 
 A word is the mean of the embeddings of its hashed character n-grams (3 to 5,
 with word edges, and the word itself); a text is the mean of its words; a
-linear softmax gives the two classes.  Embeddings and softmax are trained
+linear softmax gives the two classes.  Runs of more than `LONGEST` characters without
+white space or an ASCII mark are taken in stretches, each a word; n-grams do not
+cross stretches.  Embeddings and softmax are trained
 jointly in numpy, by Adam over mini-batches, on a bounded sample of labelled
 rows: at most `PER_CLASS` rows a class, of `SAMPLE_CHARS` characters at most
 each.  Rows are weighed so that the classes keep their shares of all labelled
@@ -61,7 +63,11 @@ class Bags:
 def bags(texts: list[str | None]) -> Bags:
     cp, rows = codepoints(texts)
     starts, ends = runs(~_CUT[np.minimum(cp, 0x3000)] | (cp > 0x3000))
-    ends = np.minimum(ends, starts + LONGEST)
+    if len(starts) and (ends - starts).max() > LONGEST:
+        count = -(-(ends - starts) // LONGEST)
+        part = concatenated(np.zeros(len(count), np.int64), count)
+        starts, ends = np.repeat(starts, count) + part * LONGEST, np.repeat(ends, count)
+        ends = np.minimum(ends, starts + LONGEST)
     first = np.searchsorted(starts, rows)
     if not len(starts):
         return Bags(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), first)
