@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from tickloom.llm import bpe, byte_repeats, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
-from tickloom.llm._windows import refine
+from tickloom.llm._windows import refine, runs_of
 
 from . import fixtures as X
 
@@ -62,6 +62,53 @@ def test_word_repeats(spark, rows, batches):
     assert sorted(got, key=lambda r: (X.order(r[0]), r[1:])) == X.word_repeats(rows)
 
 
+def crossing():
+    """Groups of one minimiser whose first content repeats inside itself and then meets exactly one other content."""
+    r, rows = random.Random(11), []
+    part = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    for _ in range(24):
+        g, pre, mid, post = part(32), part(90), part(20), part(90)
+        rows += [pre + g + mid + g + post] * 7 + [pre + g + mid[:10] + part(80)] * 2
+    return [(i, x + str(i), None, None, None, None, None) for i, x in enumerate(rows)]
+
+
+def hot(r=random.Random(12)):  # noqa: B008
+    """One line in every text, between words that differ; some lines are shared by two texts."""
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(1, 5)))
+    line = " ".join(word() for _ in range(14)) + " " + "x" * 40
+    texts = []
+    for _ in range(150):
+        near = texts[-1].split(line)[0] if texts and r.random() < 0.3 else " ".join(word() for _ in range(r.randrange(20)))
+        texts.append(near + " " * (not near.endswith(" ")) + line + " " + " ".join(word() for _ in range(r.randrange(30))))
+    return [(i, x, None, None, None, None, None) for i, x in enumerate(texts)]
+
+
+@pytest.mark.parametrize("size", [3, 4, 7, 10_000])
+@pytest.mark.parametrize("make", [crossing, hot])
+def test_repeats_do_not_depend_on_batches(spark, size, make):
+    rows = make()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = [tuple(r)[:5] for r in byte_repeats.cut(X.frame(spark, rows)).collect()]
+    words = [tuple(r)[:4] for r in word_repeats.cut(X.frame(spark, rows)).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [r[:2] for r in rows]
+    assert sorted(got) == X.byte_repeats(texts) and sorted(words) == X.word_repeats(texts)
+
+
+@pytest.mark.parametrize("kind", [byte_repeats.KIND, word_repeats.KIND], ids=["bytes", "words"])
+def test_hot_runs_cover_the_same_windows(kind):
+    raw = "\n".join(x[1] for x in hot()).encode()
+    symbols, first = kind.symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    plain = runs_of(symbols, first, kind)
+    cut = runs_of(symbols, first, kind, np.unique(plain[3])[::2])
+    windows = lambda found: sorted(w for s, n in zip(found[1], found[2], strict=True) for w in range(s, s + n))
+    assert windows(plain) == windows(cut) == list(range(first[-1] - kind.window + 1)) and cut[6].any() and not cut[6].all()
+    of = {}
+    for s, n, key in zip(cut[1], cut[2], cut[3], strict=True):
+        for w in range(s, s + n):
+            assert of.setdefault(symbols[w : w + kind.window].tobytes(), key) == key
+
+
 def test_refine_finds_the_earliest_equal():
     import numpy as np
 

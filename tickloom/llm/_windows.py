@@ -5,18 +5,30 @@ of equals.  Consecutive windows with the same minimiser form a run (a
 super-k-mer).  A window with given content always has the same minimiser, so
 equal windows meet in the minimiser's bucket:
 
-1. Equal whole texts are folded: only the smallest identifier is searched.
+1. Equal whole texts (by SHA-256) are folded: only the smallest identifier is
+   searched.
 2. Each run sends (minimiser, content hash, document, position) to its bucket,
-   without text.  There equal runs are seen at once: all but the first
-   are repeated throughout.  A minimiser with one content is settled.
+   without text.  There equal runs (64 bits of minimiser and 64 of content) are
+   seen at once: all but the first are repeated throughout.  A minimiser with
+   one content is settled.
 3. Only the first run of each content whose minimiser has several contents (or
    may repeat inside itself) travels as a packed string to the bucket, where
-   the caller's sort decides window by window, exactly.
+   the caller's sort decides window by window, on the symbols themselves.
 4. The repeated stretches return to their documents.
 
+Hot minimisers (a line or passage of very many texts) are known beforehand from
+a sample of the rows; the sample decides only how work is dealt out, never a
+result.  Their runs are cut where the minimiser's place in the window passes a
+multiple of `Kind.places`, and each part's key is the hash of all symbols that its
+windows share: the minimiser and what lies around it.  Equal windows have the
+minimiser at the same place, so they still meet.  Each such key is dealt out by
+document in `SALTS` parts, in which all but the first run of a content are
+settled; only the parts' first runs meet under the key.
+
 The texts are shuffled by document once; the three uses share that exchange.
-Buckets are streamed in sorted order: memory holds one batch, and in step 3
-`CHUNK` bytes of strings, or the distinct contents of one minimiser.
+Step 2 is Spark's own sort and windows.  In step 3 buckets are streamed in
+sorted order: memory holds one batch, and `CHUNK` bytes of strings, or the
+distinct contents of one key.
 """
 
 from __future__ import annotations
@@ -25,15 +37,20 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import partitions, written
-from ._text import U64, RangeHash, buffers, concatenated, runs, sliding_min, slices
+from ._text import U64, RangeHash, buffers, concatenated, mix64, runs, sliding_min, slices
 
 STEP = 1 << 20
 CAP = 1024
 CHUNK = 2 << 20
+#: A minimiser is hot if it holds more than 1 / (HOT * partitions) of the sampled runs: fewer than HOT * partitions are.
+HOT = 4
+#: Bytes of text in the sample for each partition.
+SAMPLE = 256 << 10
+SALTS = 64
 LAST = (1 << 63) - 1  # stands for a null identifier: after all others
 _LOW = U64((1 << 24) - 1)
 
@@ -52,10 +69,13 @@ class Kind:
     numbers: Callable
     #: do repeats inside one document count?
     within: bool
+    #: places of a hot minimiser in its window that share a key
+    places: int
 
 
-def runs_of(symbols: np.ndarray, first: np.ndarray, kind: Kind):
-    """row, start (in the row), length in windows, minimiser, content hash, may repeat inside."""
+def runs_of(symbols: np.ndarray, first: np.ndarray, kind: Kind, hot: np.ndarray | None = None):
+    """row, start (in the row), length in windows, minimiser, content hash, may
+    repeat inside, is hot.  hot: in order; their runs are cut and have other keys."""
     w, k = kind.window, kind.gram
     span = w - k + 1
     found = []
@@ -69,6 +89,12 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, kind: Kind):
         least = sliding_min((g & ~_LOW) | np.arange(len(g), dtype=U64), span)
         at = (least & _LOW).astype(np.int64)
         key = g[at]
+        own = _among(key, hot)
+        if own.any():
+            i = np.flatnonzero(own)
+            low = (at[i] - i) // kind.places * kind.places
+            begin, end = at[i] - low, at[i] + k + np.maximum(0, span - low - kind.places)
+            key[i] = mix64(hashed.ranges(begin, end - begin) + low.astype(U64))
         step = np.zeros(len(at) + 1, dtype=np.int32)
         some = np.diff(edge) >= w
         np.add.at(step, edge[:-1][some], 1)
@@ -76,7 +102,7 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, kind: Kind):
         valid = np.cumsum(step[:-1]) > 0
         valid[STEP:] = False
         same = np.zeros(len(at), dtype=bool)
-        same[1:] = valid[1:] & valid[:-1] & (key[1:] == key[:-1])
+        same[1:] = valid[1:] & valid[:-1] & (key[1:] == key[:-1]) & (~own[1:] | (at[1:] == at[:-1]))
         starts = np.flatnonzero(valid & ~same)
         if not len(starts):
             continue
@@ -95,16 +121,24 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, kind: Kind):
             mine, far = g[p], np.append(g, np.zeros(span, U64))
             for d in range(1, span):
                 again |= far[p + d] == mine
+            again &= ~own[starts]  # all windows of a cut run have the minimiser at another place
         else:
             again[:] = False
         row = np.searchsorted(edge, starts, side="right") - 1
-        found.append((row, starts + lo - first[row], n, key[starts], hashed.ranges(starts, n + w - 1), again))
+        found.append((row, starts + lo - first[row], n, key[starts], hashed.ranges(starts, n + w - 1), again, own[starts]))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64), z.astype(bool)
+        return z, z, z, z.astype(U64), z.astype(U64), z.astype(bool), z.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _among(key: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which keys are among the known ones (in order)."""
+    if known is None or not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
 def pack(start: np.ndarray, n: np.ndarray, again: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 32 | n.astype(np.int64) << 21 | again.astype(np.int64) << 20 | tag
 
@@ -179,6 +213,40 @@ def tag_of(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 5), 16, 10).cast("int")
 
 
+def hot_minimisers(docs: DataFrame, base: DataFrame, kind: Kind, text: str, key: str, n_parts: int) -> np.ndarray:
+    """The minimisers that hold a large share of a sample's runs, in order; fewer than HOT * n_parts."""
+    total = base.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(1, int(total // (SAMPLE * n_parts)))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, at = buffers(batch.column(0))
+            for lo, hi in slices(at):
+                symbols, first = kind.symbols(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                mh, count = np.unique(runs_of(symbols, first, kind)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(count)], ["mh", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64(key, text), F.lit(parts)) == 0).select(text).mapInArrow(scan, "mh long, n long")
+    counts = written(some.groupBy("mh").agg(F.sum("n").alias("n")), "sampled")
+    runs_ = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("n") > max(16, runs_ // (HOT * n_parts)))).collect()
+    return np.sort(np.array([r["mh"] for r in found], np.int64).view(U64))
+
+
+def _settled(met: DataFrame, kind: Kind, *by: str) -> DataFrame:
+    """`first`: is the run the first of its content (or, where repeats inside a
+    document do not count, in the first document)?  `open`: such a run, if its
+    key has several contents or it may repeat inside itself.  A sort and two
+    windows over the same partitioning."""
+    content = Window.partitionBy(*by, "ch").orderBy("doc", "pos")
+    first = F.row_number().over(content) == 1 if kind.within else F.first("doc").over(content) == F.col("doc")
+    met = met.withColumn("first", first)
+    several = F.min("ch").over(Window.partitionBy(*by)) != F.max("ch").over(Window.partitionBy(*by))
+    return met.withColumn("open", F.col("first") & (several | ((F.shiftright("pos", 20).bitwiseAND(1)) == 1)))
+
+
 def repeats(docs: DataFrame, kind: Kind, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """base: doc, sha, rep of every row.  reps: doc, tag, text, sha of the rows
     that stand for their equals.  spans: doc, tag, spans (start, n) of runs of
@@ -195,6 +263,8 @@ def repeats(docs: DataFrame, kind: Kind, text: str = "text", key: str = "doc_id"
     if base.groupBy("doc", "sha").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
         d = d.groupBy("doc", "tag").agg(F.first("text").alias("text"))
 
+    hot = hot_minimisers(docs, base, kind, text, key, n_parts)
+
     def scan(batches):
         import pyarrow as pa
 
@@ -203,61 +273,18 @@ def repeats(docs: DataFrame, kind: Kind, text: str = "text", key: str = "doc_id"
             raw, at = buffers(batch.column(2))
             for lo, hi in slices(at):
                 symbols, first = kind.symbols(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                row, start, n, mh, ch, again = runs_of(symbols, first, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[lo + row]), pa.array(pack(start, n, again, tags[lo + row]))], ["mh", "ch", "doc", "pos"])
-
-    met = d.select("doc", "tag", "text").mapInArrow(scan, "mh long, ch long, doc long, pos long")
-    met = met.repartition(n_parts, "mh").sortWithinPartitions("mh", "ch", "doc", "pos")
-
-    def settle(batches):
-        """Rows (doc, tag, mh, pos, open): repeated throughout, or to be judged."""
-        import pyarrow as pa
-
-        last = None  # mh, ch, first doc of the content, does the group have several contents, the held row
-        for batch in batches:
-            mh, ch, ids, pos = (np.asarray(batch.column(i)) for i in range(4))
-            if not len(mh):
-                continue
-            held = np.zeros((4, 0), np.int64)
-            if last and last[0] == mh[0] and last[4] is not None:  # the group goes on: its first content is still undecided
-                held = np.array(last[4])[:, None]
-            mh, ch, ids, pos = (np.concatenate([h, x]) for h, x in zip(held, (mh, ch, ids, pos), strict=True))
-            group = np.ones(len(mh), bool)
-            group[1:] = mh[1:] != mh[:-1]
-            content = group.copy()
-            content[1:] |= ch[1:] != ch[:-1]
-            goes_on = not held.shape[1] and last is not None and last[0] == mh[0]
-            several = False
-            if goes_on:
-                several = last[3] or last[1] != ch[0]
-                content[0] = last[1] != ch[0]
-            owner = np.maximum.accumulate(np.where(content, np.arange(len(mh)), 0))
-            first_doc = ids[owner].copy()
-            if goes_on and not content[0]:
-                first_doc[owner == 0] = last[2]
-            number = np.cumsum(group) - 1
-            contents = np.bincount(number, content)
-            many = contents > 1
-            if goes_on and several:
-                many[0] = True
-            start = content | (ids == first_doc if not kind.within else False)
-            again = (pos >> 20 & 1) > 0
-            gone = ~start
-            # the first content of the last group may yet meet another
-            tail = number == number[-1]
-            wait = tail & ~many[number] & content & ~again
-            open_ = start & (many[number] | again)
-            if not kind.within:
-                open_ |= start & ~content & tail & ~many[number]  # further runs of the first document: judged, as more contents may come
-            out = gone | open_
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array((pos[out] & 0xFFFFF).astype(np.int32)), pa.array(mh[out]), pa.array(pos[out]), pa.array(open_[out])], ["doc", "tag", "mh", "pos", "open"])
-            w = np.flatnonzero(wait)
-            keep = tuple(int(x[w[0]]) for x in (mh, ch, ids, pos)) if len(w) else None
-            if goes_on and not several and number[-1] == 0 and last[4] is not None and keep is None and not many[0]:
-                keep = last[4]
-            last = (mh[-1], ch[-1], first_doc[-1], bool(many[-1]), keep)
-
-    met = met.mapInArrow(settle, "doc long, tag int, mh long, pos long, open boolean")
+                row, start, n, mh, ch, again, own = runs_of(symbols, first, kind, hot)
+                salt = np.where(own, (mix64(ids[lo + row].astype(U64)) % U64(SALTS)).astype(np.int8), np.int8(-1))
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[lo + row]), pa.array(pack(start, n, again, tags[lo + row])), pa.array(salt)], ["mh", "ch", "doc", "pos", "salt"])
+
+    met = d.select("doc", "tag", "text").mapInArrow(scan, "mh long, ch long, doc long, pos long, salt byte")
+    met = _settled(met.repartition(n_parts, "mh", "salt"), kind, "mh", "salt")
+    out = met.where("salt < 0 OR NOT first")
+    if len(hot):
+        # one condition on both columns: a filter on the salt alone would move below the exchange, which then could not be shared
+        rest = met.where(F.when(F.col("first"), F.col("salt")).otherwise(F.lit(-1)) >= 0).select("mh", "ch", "doc", "pos")
+        out = out.select("mh", "doc", "pos", "first", "open").unionByName(_settled(rest.repartition(n_parts, "mh"), kind, "mh").select("mh", "doc", "pos", "first", "open"))
+    met = out.where("NOT first OR open").select("doc", (F.col("pos").bitwiseAND(0xFFFFF)).cast("int").alias("tag"), "mh", "pos", F.col("first").alias("open"))
     per_doc = met.groupBy("doc", "tag").agg(F.collect_list(F.struct("mh", "pos", "open")).alias("met"))
     asked = d.join(per_doc, ["doc", "tag"]).select("doc", "tag", "text", "met")
 

@@ -38,7 +38,7 @@ def _numbers(strings: list[bytes]):
     return four, np.concatenate([[0], np.cumsum([len(s) for s in strings])]), 4
 
 
-KIND = Kind(WINDOW, GRAM, lambda raw, at: (BYTE[raw], at), lambda raw: (raw, np.arange(len(raw) + 1)), _numbers, True)
+KIND = Kind(WINDOW, GRAM, lambda raw, at: (BYTE[raw], at), lambda raw: (raw, np.arange(len(raw) + 1)), _numbers, True, 8)
 
 
 def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:

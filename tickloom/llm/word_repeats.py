@@ -49,7 +49,7 @@ def _numbers(strings: list[bytes]):
     return np.array(out, np.int64), np.array(first), 1
 
 
-KIND = Kind(WINDOW, GRAM, _symbols, _packed, _numbers, False)
+KIND = Kind(WINDOW, GRAM, _symbols, _packed, _numbers, False, 2)
 
 
 def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
