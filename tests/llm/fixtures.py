@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mh string, norm string"
 
@@ -19,8 +19,16 @@ def documents():
     return [*rows, rows[7], (None, texts[9], None, None, None, None, None)]
 
 
+#: Names that the operators use or once used inside.
+CLASH = ["place", "shards", "shard", "times", "__times", "sha", "__sha", "score", "__score", "lang_pred", "doc", "tag", "ch", "pos", "salt", "node", "bands", "bucket", "row", "keep", "__keep", "keep_sha", "size", "taken", "chunk", "block", "target", "u", "h", "n"]
+
+
 def frame(spark, rows=None):
-    return spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
+    """The rows, with further columns of all these names: the name and the identifier."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
+    return d.withColumns({c: F.concat_ws(" ", F.lit(c), F.col("doc_id").cast("string")) for c in CLASH})
 
 
 def sha(b):
@@ -65,7 +73,7 @@ def word_repeats(rows, w=13):
 
 def near_classes(rows, k=5, least=0.8):
     """The smallest identifier of the class of each identifier, by all pairs."""
-    bags = defaultdict(Counter)
+    bags = {}
     for d, x in rows:
         ws = (x or "").encode().split()
         bags[d] = Counter(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)) if len(ws) >= k else Counter([tuple(ws)])

@@ -2,6 +2,7 @@
 held-out rows, on documents with nulls, empty and long texts, repeated rows,
 further columns with clashing names, and on an empty table."""
 
+import functools
 import math
 import random
 import struct
@@ -204,6 +205,28 @@ def test_near_dedup(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
 
 
+def test_near_dedup_null_and_shared_identifiers(spark):
+    """Rows are classed by their own texts; identifiers only name them."""
+    r = random.Random(8)
+    base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    texts = [(7, base[0]), (7, base[1]), (9, near(base[0])), (5, near(base[1])), (None, near(base[2])), (None, base[2]), (8, base[2]), (4, "a b c d e f"), (4, "a b c d e f"), (None, "g h i")]
+    got = Counter((x.doc_id, x.class_id) for x in near_dedup.classes(X.frame(spark, [(*t, *[None] * 5) for t in texts])).collect())
+    assert got == Counter([(7, 7), (7, 5), (9, 7), (5, 5), (None, 8), (None, 8), (8, 8), (4, 4), (4, 4), (None, None)])
+    kept = near_dedup.one_of_each(X.frame(spark, [(*t, *[None] * 5) for t in texts])).collect()
+    assert Counter((x.doc_id, x.text) for x in kept) == Counter([(7, base[0]), (5, near(base[1])), (8, base[2]), (4, "a b c d e f"), (None, "g h i")])
+
+
+def test_stages_return_all_columns(spark):
+    d = X.frame(spark, [(*r[:2], r[2] or "en", *r[3:]) for r in X.documents()])
+    rows = Counter(d.collect())
+    model = language_id.train(d)
+    for out, least in ((language_id.known(d, model, 0.5), 20), (exact_dedup.drop_copies(d), 20), (near_dedup.one_of_each(d), 20), (mixing.mixed_rows(d), 20)):
+        got = Counter(out.collect())
+        assert out.columns == d.columns and set(got) <= set(rows) and sum(got.values()) >= least
+    assert {c: v for c, v in d.dtypes} == {c: v for c, v in out.dtypes}
+
+
 def test_near_dedup_chain_of_edits(spark):
     r = random.Random(2)
     words = [f"w{r.randrange(10**6)}" for _ in range(200)]
@@ -265,6 +288,40 @@ def test_language_id(spark):
     assert len(odd) == len(X.documents()) and {r.lang_pred for r in odd if r.doc_id in (80, 81, 82)} == {"und"}
 
 
+def test_language_id_has_no_caps():
+    """300 languages, thousands of letters, words of vanishing probability; the table's two forms agree."""
+    r = random.Random(6)
+    scripts = [[chr(0x4E00 + 40 * i + k) for k in range(40)] for i in range(300)]
+    text = lambda i, n: " ".join("".join(r.choice(scripts[i]) for _ in range(r.randrange(1, 9))) for _ in range(n))
+    sample = [(text(i, 20), f"l{i:03}") for i in range(300)]
+    model = language_id.fit(sample, ["a", "ab"], rounds=1)
+    assert len(model.langs) == 300 and len(model.letters) > 8000
+    found, _ = language_id.predict(model, [text(i, 5) for i in range(0, 300, 7)])
+    assert found == [f"l{i:03}" for i in range(0, 300, 7)]
+    two = language_id.fit([("abc bca " * 40, "x"), ("cba acb " * 40, "y")], ["a", "b", "ab", "▁c"], rounds=1)
+    two.prob /= 1e11
+    words = language_id.split_words(["abc" * 13], two.code())
+    least = language_id.log_likelihood(two, words.codes, words.sizes)
+    assert np.isfinite(least).all() and least.max() < np.log(1e-300) and least[0, 0] != least[0, 1]
+    whole, language_id.DENSE = language_id.DENSE, 0
+    try:
+        other = language_id.fit([("abc bca " * 40, "x"), ("cba acb " * 40, "y")], ["a", "b", "ab", "▁c"], rounds=1)
+        other.prob /= 1e11
+        assert other.next is not None and np.array_equal(language_id.log_likelihood(other, words.codes, words.sizes), least)
+    finally:
+        language_id.DENSE = whole
+
+
+def test_long_texts_are_learned_from(spark):
+    rows = [(i, ("bonjour monde " if i % 2 else "hello world ") * 3000, "fr" if i % 2 else "en", None, None, None, None) for i in range(40)]
+    d = X.frame(spark, rows)
+    model = language_id.train(d)
+    assert language_id.predict(model, ["bonjour", "hello"])[0] == ["fr", "en"]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    low, high = toxicity.scores(toxicity.train(d, labels), ["hello world", "bonjour monde"])
+    assert low < 0.5 < high
+
+
 def test_forward_sums_all_segmentations():
     model = language_id.fit([("abab ba abba", "x"), ("bbb aab", "y")], ["a", "b", "ab", "ba", "▁a", "▁ab", "bb"], rounds=2)
     words = language_id.split_words(["abba"], model.code())
@@ -297,6 +354,24 @@ def test_toxicity_on_held_out_rows():
     assert len(toxicity.scores(model, [None, "", "x"])) == 3
 
 
+def test_toxicity_score_is_the_mean_of_words(spark):
+    """Brute force, n-gram by n-gram, and the registered query on held-out rows."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.3)
+    words = ["stupid", "éa", "x", "moron"]
+    alone = [float(np.mean([model.weight[b] for b in toxicity.bags([w]).buckets])) for w in words]
+    assert [len(toxicity.bags([w]).buckets) for w in words] == [1 + 6 + 5 + 4, 1 + 2 + 1, 1 + 1, 1 + 5 + 4 + 3]
+    want = 1 / (1 + math.exp(-(np.mean([alone[0], alone[1], alone[1], alone[2], alone[3]]) - 0.3)))
+    assert toxicity.scores(model, ["Stupid éa, éa x (moron)"])[0] == pytest.approx(want, rel=1e-5)
+    sf = "/root/testdata/sf0.01"
+    truth = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
+    found = toxicity.op2_toxicity(spark, sf).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    toxic = [r.score for r in found if r.held_out and truth.get(r.doc_id) == 1]
+    clean = [r.score for r in found if r.held_out and truth.get(r.doc_id) == 0]
+    assert sum(a > b for a in toxic for b in clean) >= 0.75 * len(toxic) * len(clean)
+
+
 def test_toxicity_reads_long_runs():
     r = random.Random(3)
     run = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(300))
@@ -318,13 +393,72 @@ def test_empty_tables(spark):
 
 
 def test_pipeline(spark):
+    """Every stage, and the whole, against plain Python."""
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for k, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, docs, sf)
-        if k < len(p.STAGES) - 1:
-            assert out.columns == docs.columns
-        docs = out
-    assert docs.count() == p.run(spark, sf).count() > 0
+    model, columns = language_id.train(docs), docs.columns
+    rows = docs.collect()
+
+    piece = {}
+    letter = {3 + i: c for i, c in enumerate(model.letters)} | {1: "▁", 2: "?"}
+    walk = [(1, "")]
+    while walk:
+        node, spelt = walk.pop()
+        if model.piece[node]:
+            piece[spelt] = model.prob[node]
+        walk += [(int(t), spelt + letter[c]) for c, t in enumerate(model.step[node]) if t]
+
+    @functools.cache
+    def likelihood(word):
+        parts = [np.ones(len(model.langs))]
+        for end in range(1, len(word) + 1):
+            parts.append(sum(parts[i] * piece[word[i:end]] for i in range(max(0, end - 40), end) if word[i:end] in piece))
+        return np.log(parts[-1])
+
+    def known(text):
+        low = "".join((c if c in model.letters else "?") if c.isalpha() else " " for c in (text or "").lower())
+        words = [w[i : i + 40] for w in low.split() for i in range(0, len(w), 40)]
+        if not words:
+            return False
+        total = model.prior + sum(likelihood("▁" + w) for w in words)
+        return 1 / np.exp(total - total.max()).sum() >= p.LEAST_SCORE
+
+    squeezed = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, sf)
+        got = docs.collect()
+        if name == "language_id":
+            want = [r for r in rows if known(r.text)]
+        elif name == "exact_dedup":
+            best = {}
+            for r in sorted(rows, key=lambda r: (-len(r.text or ""), r.doc_id)):
+                best.setdefault(squeezed(r.text), r)
+            want = list(best.values())
+        elif name == "near_dedup":
+            of = X.near_classes([(r.doc_id, r.text) for r in rows])
+            want = [r for r in rows if of[r.doc_id] == r.doc_id]
+        elif name == "mixing":
+            took = {r.doc_id: round(r.taken / r.size) if r.size else 0 for r in mixing.mix(spark.createDataFrame(rows, docs.schema)).collect()}
+            want = [r for r in rows for _ in range(took[r.doc_id])]
+            sizes, mixed = Counter(), Counter()
+            for r in rows:
+                sizes[r.source] += len((r.text or "").encode().split())
+            for r in want:
+                mixed[r.source] += len(r.text.encode().split())
+            names = sorted(sizes, key=lambda x: (x is None, x or ""))
+            longest = max(len((r.text or "").split()) for r in rows)
+            for x, goal in zip(names, mixing.targets([sizes[x] for x in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))]), strict=True):
+                assert abs(mixed[x] - goal) <= longest
+        else:
+            library = Tokenizer.from_file(bpe.vocabulary())
+            want = []
+            for r in rows:
+                ids = library.encode(r.text or "", add_special_tokens=False).ids
+                want.append((r.doc_id, len(ids), X.sha(struct.pack(f"<{len(ids)}I", *ids)), X.sha(library.decode(ids, skip_special_tokens=False).encode())))
+            assert sorted(tuple(r) for r in p.run(spark, sf).collect()) == sorted(want)
+        assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and got
+        assert name == "bpe" or docs.columns == columns
+        rows = got

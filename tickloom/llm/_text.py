@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
@@ -194,6 +196,12 @@ def sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def stretch(text: Column, key: Column, length: int) -> Column:
+    """The text, or of a longer one a stretch of so many characters from a hashed place."""
+    start = F.pmod(F.xxhash64(key, F.lit(9)), F.greatest(F.lit(1), F.length(text) - length + 1)) + 1
+    return F.when(F.length(text) <= length, text).otherwise(F.substr(text, start.cast("int"), F.lit(length)))
+
+
 def row_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """Row ranges (lo, hi) of a string column of at most `limit` bytes, or of one longer row."""
     yield from slices(buffers(column)[1], limit)

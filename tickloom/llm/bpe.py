@@ -8,15 +8,22 @@ valid last token of each position follows from earlier positions.  No token is
 longer than `Merges.lookahead` bytes, so every encoding of any continuation
 passes through one of the last `lookahead` positions: the tokens that all
 chains from these positions share are stable, are emitted, and are forgotten.
-Memory is a few times the lookahead, whatever the length.  A pre-token that
-ends within one lookahead is a single buffer: there the merges are applied at
-once, and a bounded cache keeps the results.
+Memory is a few times the lookahead, whatever the length.  The lookahead is
+that of the merge list: the bytes of the longest token that it can make.
+
+This transducer reads pre-tokens of more than half the lookahead.  A shorter one
+is a single buffer that is closed before a token could be emitted: there the
+merges are applied at once, for all distinct short pre-tokens of a slice
+together, and a bounded cache keeps the results.  So prose goes mostly by
+closed buffers, and unbroken runs of letters, digits or marks by the
+transducer.  A slice of texts of about 2 MB, or one longer text, and its ids
+are in memory.
 
 Decoding joins token bytes and passes them through an incremental UTF-8
 decoder; bytes that never become text turn to U+FFFD.
 
-Special cases: a null text is encoded as the empty text (no tokens); repeated
-rows give repeated results; an empty table gives an empty result; other
+Special cases: a null text is encoded as the empty text (no tokens); a very long
+text is encoded whole; repeated rows give repeated results; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
-from ._text import concatenated
+from ._text import concatenated, row_slices
 
 #: Entries of each cache of a worker; a full cache is emptied.
 CACHED = 500_000
@@ -79,7 +86,11 @@ class Merges:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append(vocab[a + b])
-        self.lookahead = max(map(len, raw.values()))
+        size = {self.ids[bytes([b])]: 1 for b in range(256)}
+        for pair, r in self.rank.items():  # in order of rank: both halves are known
+            size[self.made[r]] = size[pair >> 20] + size[pair & 0xFFFFF]
+        #: Bytes of the longest token that the merges can make.
+        self.lookahead = max(size.values())
         self.tails = {t[i:] for t in raw.values() for i in range(len(t))}
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
@@ -255,6 +266,11 @@ class Merges:
         self._length = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
         self._start = np.cumsum(self._length) - self._length
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self.cache, self.spaced, self.fits):
+            cache.clear()
+
     def spans(self, text: str) -> list[str]:
         """The pre-tokens of a stretch of text."""
         body = text[1:]
@@ -363,8 +379,8 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
         m = merges(path or vocabulary())
         for batch in batches:
             keys, rows = batch.column(0), batch.column(1)
-            step = 256
-            for lo in range(0, batch.num_rows, step):
+            for lo, hi in row_slices(rows):
+                step = hi - lo
                 n, sha, back, ids_out, text_out = [], [], [], [], []
                 for ids in m.encode_many([x or "" for x in rows.slice(lo, step).to_pylist()]):
                     n.append(len(ids) // 4)
@@ -384,6 +400,7 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
                     out += [pa.array(ids_out, pa.binary()), pa.array(text_out, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        m.forget()  # a worker lives on and serves other stages
 
     kind = dict(docs.dtypes)[key]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")

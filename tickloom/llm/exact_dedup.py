@@ -13,8 +13,8 @@ part is sorted on its own and only its one best row meets the others.
 Results for special cases: a null text counts as empty, and all empty texts
 are one group; a null identifier orders after all others; repeated rows are
 rows of their own and are all counted; an empty table gives an empty result;
-further columns of any name are ignored by `copies` and returned unchanged
-by `drop_copies`.
+very long texts are shuffled and compared whole; further columns of any name
+are ignored by `copies` and returned unchanged by `drop_copies`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import partitions, table, written
+from ._spark import fresh, partitions, table, written
 
 HOT_SHARE = 256
 SALTS = 64
@@ -71,14 +71,15 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, with all their columns.  Rows that share
     an identifier and a text are one and the same; one of them stays."""
-    kept = copies(docs, text, key).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    d = docs.withColumn("__sha", F.sha2(normalised(F.col(text)), 256))
-    w = Window.partitionBy("__sha", key).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))).desc())
-    d = d.join(kept, (d["__sha"] == kept["__sha"]) & d[key].eqNullSafe(kept["__keep"]), "left_semi")
+    sha, place, keep, keep_sha = fresh(docs, "sha", "place", "keep", "keep_sha")
+    kept = copies(docs, text, key).where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(keep_sha))
+    d = docs.withColumn(sha, F.sha2(normalised(F.col(text)), 256))
+    d = d.join(kept, (F.col(sha) == F.col(keep_sha)) & F.col(key).eqNullSafe(F.col(keep)), "left_semi")
     twice = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
     if twice:
-        d = d.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return d.drop("__sha")
+        w = Window.partitionBy(sha, key).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))).desc())
+        d = d.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1)
+    return d.select(*docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

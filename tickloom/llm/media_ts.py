@@ -9,10 +9,10 @@ the program map through the association table and the elementary stream
 through the map (both with their CRC), checks continuity counters, reassembles
 the elementary packets and stores the timestamps and random-access points.
 
-Special cases: a null text is the empty text (one unit of padding); repeated
-rows give repeated results; an empty table gives an empty result; a damaged
-stream is read as far as it goes and its faults are counted; other columns are
-ignored.
+Special cases: a null text is the empty text (one unit of padding); a very long
+text becomes as many elementary packets as it takes; repeated rows give repeated
+results; an empty table gives an empty result; a damaged stream is read as far
+as it goes and its faults are counted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -245,4 +245,4 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", with
 
 
 def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents")).drop("pts", "random_access")
+    return media_columns(table(spark, sf_dir, "documents"))

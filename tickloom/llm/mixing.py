@@ -19,8 +19,10 @@ rounded to a word.  No row is taken more than three times its size.
 
 Special cases: a null text has size 0 and is never taken; null is a source of
 its own, last in order; a source without words has target 0; repeated rows
-are rows of their own, and rows with the same identifier share a block;
-an empty table gives an empty result; other columns are ignored.
+are rows of their own, and rows with the same identifier share a block; a very
+long text counts all its words and may be taken in part; an empty table gives
+an empty result; other columns, of any name, are ignored by `mix` and returned
+unchanged by `mixed_rows`.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import partitions, table, written
+from ._spark import fresh, partitions, table, written
 
 BLOCKS = 4096
 SHARDS = 16
@@ -122,30 +124,33 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
             at[name, b].append(int(shard))
     plan = spark.createDataFrame([tuple(p) for p in plan], _PLAN)
     d = d.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
-    whole = F.col("passes") * F.col("size")
+    # a block is taken once for each of its draws that the tree dealt to a shard, the cut one of a source in part
+    whole = F.size("shards") * F.col("size")
     # only a block that is taken in part needs its rows in order: one block of a source
     sums = written(d.groupBy("source", "block").agg(F.sum("size").alias("held")), "blocks")
     d = d.join(F.broadcast(sums.select(F.col("source").alias("h_source"), F.col("block").alias("h_block"), "held")), F.col("source").eqNullSafe(F.col("h_source")) & (F.col("block") == F.col("h_block")))
     cut = (F.col("rest") > 0) & (F.col("rest") < F.col("held"))
     run = Window.partitionBy("source", "block").orderBy("u", F.col("size").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    full = d.where(~cut).withColumn("taken", whole + F.when(F.col("rest") > 0, F.col("size")).otherwise(F.lit(0)))
+    full = d.where(~cut).withColumn("taken", whole)
     edge = d.where(cut).withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    edge = edge.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).drop("before")
+    edge = edge.withColumn("taken", whole - F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).drop("before")
     out = full.unionByName(edge)
     return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "shards", F.xxhash64(F.lit(seed + 1), "doc_id").alias("place"))
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixture itself: every row of `docs` as often as it is taken (to the
-    nearest whole number of times), ordered at random within its shard."""
-    took = mix(docs, text, key, source, **options)
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "taken", "shards", "place")
-    took = took.withColumn("__times", F.when(F.col("__size") > 0, F.round(F.col("taken") / F.col("__size"))).otherwise(0).cast("int")).where("__times > 0").dropDuplicates(["__id", "__source", "__size"])
-    d = docs.join(took, docs[key].eqNullSafe(took["__id"]) & docs[source].eqNullSafe(took["__source"]) & (words(docs[text]) == took["__size"]))
-    d = d.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    d = d.withColumn("__shard", F.coalesce(F.try_element_at("shards", F.col("__draw") + 1), F.lit(0)))
-    d = d.repartition(partitions(docs.sparkSession), "__shard", F.pmod("place", F.lit(1024))).sortWithinPartitions("__shard", F.xxhash64("place", "__draw"))
-    return d.select(*[docs[c] for c in docs.columns])
+    nearest whole number of times), ordered at random within its shard.  Of each
+    source one row at most is rounded: the last that it takes.  Rows that share
+    identifier, source and size are taken alike, as often as the most taken."""
+    ident, origin, size, times, shards, place, draw, shard = fresh(docs, "ident", "origin", "size", "times", "shards", "place", "draw", "shard")
+    took = mix(docs, text, key, source, **options).where("taken > 0")
+    took = took.groupBy(F.col("doc_id").alias(ident), F.col("source").alias(origin), F.col("size").alias(size)).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times), F.first("shards").alias(shards), F.first("place").alias(place))
+    d = docs.join(took.where(F.col(times) > 0), F.col(key).eqNullSafe(F.col(ident)) & F.col(source).eqNullSafe(F.col(origin)) & (words(F.col(text)) == F.col(size)))
+    d = d.withColumn(draw, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    d = d.withColumn(shard, F.coalesce(F.try_element_at(shards, F.col(draw) + 1), F.lit(0)))
+    d = d.repartition(partitions(docs.sparkSession), shard, F.pmod(place, F.lit(1024))).sortWithinPartitions(shard, F.xxhash64(place, draw))
+    return d.select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,12 @@ Each pair is held against the exact similarity of the two whole texts, and only
 pairs of `THRESHOLD` or more link.  Classes are connected components.
 
 Special cases: texts without words (null, empty, white space) form one class;
-identifiers must not be shared by different texts (such rows count as the
-text with the smallest hash when pairs are checked); a null identifier orders
-first; repeated rows share a class; an empty table gives an empty result;
-other columns are ignored by `classes` and returned unchanged by
-`one_of_each`.
+rows that share an identifier are classed by their own texts, each under the
+smallest identifier of its own class; a null identifier comes after all others
+(a class of such rows alone has a null class_id); repeated rows share a class,
+and `one_of_each` keeps one of them; very long texts are compared whole; an
+empty table gives an empty result; other columns, of any name, are ignored by
+`classes` and returned unchanged by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import partitions, table, written
+from ._spark import fresh, partitions, table, written
 from ._text import U64, RangeHash, buffers, concatenated, constants, mix64, slices, word_bounds, word_hashes
 
 WORDS = 5
@@ -245,12 +246,12 @@ def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the smallest identifier of the class) of every row."""
-    s = written(signed(docs, text, key, bands, rows), "signatures")
+def _classes(docs: DataFrame, signatures: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """doc_id, class_id of every row; no identifier is null or shared."""
+    s = signatures
     nodes = s.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    met = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    met = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     met = written(met.join(sizes, "bucket"), "buckets")
     degree = met.groupBy("node").agg(F.sum("met").alias("degree"))
@@ -285,10 +286,53 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return s.join(of, ["h1", "h2"]).select("doc_id", "class_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` whose identifier is the smallest of their class."""
-    keep = classes(docs, text, key, **options).where("doc_id <=> class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["__keep"]), "left_semi")
+def _shared(ids: DataFrame) -> bool:
+    """Is an identifier null, or that of several rows?"""
+    return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").limit(1).count() > 0
+
+
+def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """row, doc_id, sha, text of every row; `row` numbers the distinct pairs of identifier and text."""
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
+    rows = written(d.select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha")).distinct().withColumn("row", F.monotonically_increasing_id()), "rows")
+    return d.join(rows, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha"))).select("row", "doc_id", "sha", "text")
+
+
+def _first_of_each(docs: DataFrame, text: str, key: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, bool]:
+    """doc_id, class_id of every row, and whether identifiers are null or shared.
+    If they are, rows are numbered and there are two columns more: sha, and
+    top_sha of the class's first row (by identifier, null last, then by sha)."""
+    s = written(signed(docs, text, key, bands, rows), "signatures")
+    if not _shared(s):
+        return _classes(docs, s, text, key, threshold), False
+    d = written(_numbered(docs, text, key), "numbered")
+    one = d.groupBy("row").agg(F.first("text").alias("text"))
+    found = _classes(one, written(signed(one, "text", "row", bands, rows), "signatures"), "text", "row", threshold)
+    found = d.select("row", "doc_id", "sha").join(found.select(F.col("doc_id").alias("row"), F.col("class_id").alias("of")), "row")
+    found = written(found, "classes")
+    top = found.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "sha")).alias("top"))
+    return found.join(top, "of").select("doc_id", F.col("top.doc_id").alias("class_id"), "sha", F.col("top.sha").alias("top_sha")), True
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (the smallest identifier of the class) of every row."""
+    return _first_of_each(docs, text, key, threshold, bands, rows)[0].select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of `docs` of each class, with all its columns: the one with the
+    smallest identifier, and of those that share it, the one whose text has the
+    smallest hash."""
+    found, shared = _first_of_each(docs, text, key, threshold, bands, rows)
+    keep, keep_sha, sha, place = fresh(docs, "keep", "keep_sha", "sha", "place")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    if not shared:
+        return docs.join(kept.select(F.col("doc_id").alias(keep)), F.col(key) == F.col(keep), "left_semi")
+    kept = kept.where("sha = top_sha").select(F.col("doc_id").alias(keep), F.col("sha").alias(keep_sha)).distinct()
+    d = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    d = d.join(kept, F.col(key).eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(keep_sha)), "left_semi")
+    d = d.withColumn(place, F.row_number().over(Window.partitionBy(key, sha).orderBy(F.length(F.coalesce(F.col(text), F.lit(""))))))
+    return d.where(F.col(place) == 1).select(*docs.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,16 @@ linear softmax gives the two classes.  Runs of more than `LONGEST` characters wi
 white space or an ASCII mark are taken in stretches, each a word; n-grams do not
 cross stretches.  Embeddings and softmax are trained
 jointly in numpy, by Adam over mini-batches, on a bounded sample of labelled
-rows: at most `PER_CLASS` rows a class, of `SAMPLE_CHARS` characters at most
-each.  Rows are weighed so that the classes keep their shares of all labelled
+rows: at most `PER_CLASS` rows a class and `SAMPLE_CHARS` characters a row (a
+longer text gives a stretch of that length from a hashed place).  Rows are weighed so that the classes keep their shares of all labelled
 rows.  Words never seen still share n-grams with seen ones.
 
 As mean and softmax are linear, the fitted model is one number an n-gram
 bucket and a bias; scoring a word needs no vectors.  It reads every whole
 text and holds one slice.
 
-Special cases: a null or empty text has no words and scores the bias alone;
+Special cases: a null or empty text has no words and scores the bias alone; a
+very long text, or word, is scored whole;
 without labels of both classes all scores are the share of toxic labels (0
 without labels); labels of identifiers that occur twice count once each;
 repeated rows give repeated results; an empty table gives an empty result;
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
-from ._text import U64, RangeHash, codepoints, concatenated, mix64, row_slices, runs, sums_by_row
+from ._text import U64, RangeHash, codepoints, concatenated, mix64, row_slices, runs, stretch, sums_by_row
 
 PER_CLASS = 1200
 SAMPLE_CHARS = 20_000
@@ -182,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     wide = 1 << 30
     share = F.when(F.col("y") == 1, int(min(1.0, 1.25 * PER_CLASS / max(1, counts.get(1, 0))) * wide)).otherwise(int(min(1.0, 1.25 * PER_CLASS / max(1, counts.get(0, 0))) * wide))
     lab = lab.where(F.pmod(F.xxhash64("lk", F.lit(5)), F.lit(wide)) < share).limit(4 * PER_CLASS)  # bounded: about 2.5 * PER_CLASS rows
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where((F.length("t") <= SAMPLE_CHARS) & (F.length("t") > 0))
-    rows = d.join(F.broadcast(lab), F.col("k") == F.col("lk")).select("k", "t", "y").orderBy(F.xxhash64("k", F.lit(6)), "k", "t").limit(4 * PER_CLASS).collect()
+    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
+    rows = d.join(F.broadcast(lab), F.col("k") == F.col("lk")).select("k", stretch(F.col("t"), F.col("k"), SAMPLE_CHARS).alias("t"), "y").orderBy(F.xxhash64("k", F.lit(6)), "k", "t").limit(4 * PER_CLASS).collect()
     taken, texts, ys = {0: 0, 1: 0}, [], []
     for r in rows:
         taken[r["y"]] += 1
