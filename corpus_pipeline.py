@@ -3,13 +3,21 @@
 A stage is a function (spark, docs, sf_dir) -> DataFrame.  `run` applies them
 to the documents, writing each stage's rows as a Parquet table in the shared
 folder and reading them again.  All stages but the last return the columns of
-`documents`.
+`documents`, of any name, unchanged.
+
+Special cases, stage by stage: a null, empty or letterless text has no language
+and goes in the first stage, whatever its `lang`; where no row has a `lang` to
+learn from, all rows go.  Of equal texts the longest stays, then the smallest
+identifier; of near copies (also where similarities tie) the smallest
+identifier of the class; a null identifier stays only where no other row of its
+group has one.  Rows that repeat identifier and text are one row from the
+second stage on.  Very long texts pass whole.  The mixture repeats and leaves
+out whole rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from tickloom.llm._spark import table, written
@@ -20,8 +28,7 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; the model learns from the same rows."""
-    found = language_id.identify(docs, language_id.train(docs), carry=True)
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.known(docs, language_id.train(docs), LEAST_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
