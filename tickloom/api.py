@@ -41,6 +41,7 @@ def print_(template: str, *args: Column, **named: Column) -> Column:
 #: Other names of the same things.
 ALIASES: dict[str, Callable] = {
     "from_data_frame": frames.from_frame,
+    "from_data_frame_batches": frames.from_frame_batches,
     "to_data_frame": frames.to_frame,
     "replay_data_frame": frames.replay,
     "filter_frame": frames.matching,
@@ -48,8 +49,6 @@ ALIASES: dict[str, Callable] = {
     "filter_": streams.filter_by,
     "to_window": streams.window,
     "rolling_window": streams.window,
-    "rolling_mean": streams.rolling,
-    "count": streams.running,
     "min_ts_list": arithmetic.array_min,
     "max_ts_list": arithmetic.array_max,
     "filter_tsd_by_matches": keyed.filter_by_matches,
@@ -60,11 +59,6 @@ ALIASES: dict[str, Callable] = {
     "stop_engine": sources.stop_at,
     "from_table_const": recording.replay_const,
     "ts_of_frames_from_data_source": sources.tsb_from_data_source,
-    "accumulate": streams.running,
-    "average": streams.running,
-    "reference_service": graph.subscription_service,
-    "compute_node": graph.lift,
-    "call": sinks.logged,
     "last_modified_time": last_modified_time,
     "last_modified_wall_clock_time": last_modified_wall_clock_time,
     "print_": print_,

@@ -85,14 +85,19 @@ def mean(*a: Column) -> Column:
     return sum_(*[c.cast("double") for c in a]) / len(a)
 
 
-def min_(*a: Column, default: Column | None = None) -> Column:
-    c = F.least(*a) if len(a) > 1 else a[0]
+def _extreme(f, a: tuple[Column, ...], default: Column | None) -> Column:
+    """Null where an operand is null, as no tick comes before all have one; NaN is the largest."""
+    ready = reduce(lambda x, y: x & y, [c.isNotNull() for c in a])
+    c = F.when(ready, f(*a)) if len(a) > 1 else a[0]
     return c if default is None else F.coalesce(c, default)
 
 
+def min_(*a: Column, default: Column | None = None) -> Column:
+    return _extreme(F.least, a, default)
+
+
 def max_(*a: Column, default: Column | None = None) -> Column:
-    c = F.greatest(*a) if len(a) > 1 else a[0]
-    return c if default is None else F.coalesce(c, default)
+    return _extreme(F.greatest, a, default)
 
 
 def var(*a: Column) -> Column:

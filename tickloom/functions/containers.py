@@ -73,8 +73,17 @@ def quantile(a: Column, q: float, method: str = "linear") -> Column:
 
 
 def cumulative_sum(a: Column) -> Column:
-    """Arrays here are windows of a fixed length, so the slices stay short."""
-    return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x))
+    """Each member's sum with all before it, in one pass."""
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("sum"))
+    add = lambda acc, x: F.struct(F.array_append(acc["out"], acc["sum"] + x).alias("out"), (acc["sum"] + x).alias("sum"))
+    return F.aggregate(a, start, add)["out"]
+
+
+def array_var(a: Column, ddof: int = 0) -> Column:
+    """The variance with n - ddof; NaN for too few values.  For a list, a window's buffer, or the values of a map."""
+    n, mean = F.size(a) - ddof, array_mean(a)
+    squares = array_sum(F.transform(a, lambda x: (x - mean) * (x - mean)))
+    return F.when(a.isNotNull(), F.when(n > 0, squares / n).otherwise(F.lit(float("nan"))))
 
 
 def correlation(a: Column, b: Column) -> Column:

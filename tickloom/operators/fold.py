@@ -178,6 +178,19 @@ def feedback(s: DataFrame, order: Order, value: str, function: Callable, initial
     return fold(s, order, lambda: {"x": initial}, step, _rest(s, order) + [field])
 
 
+def compute_node(s: DataFrame, order: Order, function: Callable[[dict, dict], object], field: T.StructField, start: Callable[[], dict] = dict) -> DataFrame:
+    """A node with state: `function(state, row)` for each tick of a key, in order,
+    gives the output, or None for no tick.  Without state, `graph.lift` is faster."""
+
+    def step(state, _, rows):
+        for r in rows:
+            x = function(state, r)
+            if x is not None:
+                yield r | {field.name: x}
+
+    return fold(s, order, start, step, _rest(s, order) + [field])
+
+
 def dedup_close(s: DataFrame, order: Order, value: str, tolerance: float = 1e-15) -> DataFrame:
     """Floats that differ from the last one that came out by more than the tolerance.
     A NaN after a NaN, and a null after a null, are repeats."""

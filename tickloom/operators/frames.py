@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free
+
 HOWS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -16,6 +18,21 @@ def from_frame(df: DataFrame, dt: str, value: str, key: str | None = None, offse
     return df.where(F.col(value).isNotNull()).select(t.alias("ts"), *[F.col(key).alias("key")] * bool(key), F.col(value).alias("value"))
 
 
+def from_frame_batches(batches: Sequence[DataFrame], dt: str, value: str, key: str | None = None, offset_micros: int = 0) -> DataFrame:
+    """The ticks of frames that came one after the other.  A frame whose first
+    retained row is before the last one of an earlier frame came too late: an
+    error, raised when rows are read.  One row a frame says where it begins and ends."""
+    out, spans = None, None
+    for i, b in enumerate(batches):
+        t = from_frame(b, dt, value, key, offset_micros).withColumn("batch", F.lit(i))
+        span = t.groupBy("batch").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+        out, spans = (t, span) if out is None else (out.unionByName(t), spans.unionByName(span))
+    late = spans.withColumn("before", F.max("last").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)))
+    late = late.agg(F.coalesce(F.bool_or(F.col("first") < F.col("before")), F.lit(False)).alias("late"))
+    ok = F.when(~F.col("late"), F.lit(True)).otherwise(F.raise_error(F.lit("a batch came after its first row's time")).cast("boolean"))
+    return out.join(F.broadcast(late), ok).drop("late", "batch")
+
+
 def to_frame(s: DataFrame, **names: str) -> DataFrame:
     return s.select(*[F.col(c).alias(n) for n, c in names.items()])
 
@@ -24,7 +41,8 @@ def replay(df: DataFrame, date: str, as_of: str, keys: Sequence[str], until: Col
     """Of each date and key the latest revision known at `until`; revisions
     that remove the row leave none.  One map-side combined aggregation."""
     rest = [c for c in df.columns if c not in (date, *keys)]
-    out = df.where(F.col(as_of) <= until).groupBy(date, *keys).agg(F.max_by(F.struct(*rest), as_of).alias("_r")).select(date, *keys, "_r.*")
+    (r,) = free(df)
+    out = df.where(F.col(as_of) <= until).groupBy(date, *keys).agg(F.max_by(F.struct(*rest), as_of).alias(r)).select(date, *keys, *[F.col(r)[c].alias(c) for c in rest])
     return out.where(~F.col(removed)) if removed else out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import checkpointed
+from .names import free
 
 
 def nearest_case(kind: str, parents: Mapping[str, str | None], cases: Mapping[str, object]) -> str | None:
@@ -85,7 +86,7 @@ def mesh_(d: DataFrame, reads: DataFrame, key: str, other: str, value: str, aggr
         ready = checkpointed(left.join(found.where("__n = __k"), key).select(key, combine(F.col("__own"), F.col("__agg")).alias(value)))
         if ready.isEmpty():
             raise ValueError("keys read each other in a circle, or a key is missing")
-        done = checkpointed(done.unionByName(ready))
+        done = done.unionByName(ready)  # each rank is written once
         left = left.join(ready.select(key), key, "left_anti")
     raise ValueError(f"more than {ranks} ranks")
 
@@ -99,9 +100,26 @@ def subscription_service(requests: DataFrame, key: str, implementation: Callable
 
 
 def request_reply_service(requests: DataFrame, identifier: str, implementation: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every request with its reply, or nulls; the implementation keeps the identifier."""
+    """Every request with its reply, or nulls; the implementation keeps the
+    identifier.  Two replies to one identifier are an error."""
     replies = implementation(requests)
-    return requests.join(replies.select(identifier, *[c for c in replies.columns if c not in requests.columns]), identifier, "left")
+    more = [c for c in replies.columns if c not in requests.columns]
+    n, r = free(requests, replies, count=2)
+    one = replies.groupBy(identifier).agg(F.count(F.lit(1)).alias(n), F.first(F.struct(*more)).alias(r))
+    checked = F.when(F.col(n) == 1, F.col(r)).otherwise(F.raise_error(F.lit("a request has several replies")))
+    return requests.join(one.select(identifier, checked.alias(r)), identifier, "left").select(*requests.columns, *[F.col(r)[c].alias(c) for c in more])
+
+
+def reference_service(implementation: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """One output for all clients: the implementation is asked once, and every client gets the same plan."""
+    made: list[DataFrame] = []
+
+    def client() -> DataFrame:
+        if not made:
+            made.append(implementation())
+        return made[0]
+
+    return client
 
 
 # Statuses of several streams: the worst one, and each message once.

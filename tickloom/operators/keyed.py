@@ -10,15 +10,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free
+
 
 def snapshot(d: DataFrame, keys: Sequence[str], by: Sequence[str], op: str | None = None) -> DataFrame:
     """The live entries: the latest row of each key, by aggregation (map-side
     combined), not by a window."""
     rest = [c for c in d.columns if c not in keys]
-    out = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_r")).select(*keys, "_r.*")
+    out = d.groupBy(*keys).agg(*_opened(d, rest, lambda r: F.max_by(r, F.struct(*by))))
+    out = _unpacked(out, d, keys, rest)
     return out.where(F.col(op) != "remove") if op else out
 
 
+def _opened(d: DataFrame, rest: Sequence[str], pick) -> list[Column]:
+    """The picked row of a group in one column."""
+    return [pick(F.struct(*rest)).alias(free(d)[0])]
+
+
+def _unpacked(out: DataFrame, d: DataFrame, keys: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    r = F.col(free(d)[0])
+    return out.select(*keys, *[r[c].alias(c) for c in rest])
+
+
 def keys_(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.select(*keys).distinct()
 
@@ -45,7 +58,7 @@ def partition(d: DataFrame, groups: DataFrame, key: str, group: str) -> DataFram
 def unpartition(d: DataFrame, group: str, key: str) -> DataFrame:
     """Without the outer key; the smallest outer key wins where inner keys meet."""
     rest = [c for c in d.columns if c not in (group, key)]
-    return d.groupBy(key).agg(F.min_by(F.struct(*rest), group).alias("_r")).select(key, "_r.*")
+    return _unpacked(d.groupBy(key).agg(*_opened(d, rest, lambda r: F.min_by(r, group))), d, [key], rest)
 
 
 def flip_keys(d: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -66,12 +79,13 @@ def filter_by_matches(d: DataFrame, matches: DataFrame, key: str, match: str) ->
 
 def merge_disjoint(ds: Sequence[DataFrame], key: str) -> DataFrame:
     """For each key the entry of the leftmost dictionary that has it."""
+    (i,) = free(*ds)
     out = None
-    for i, d in enumerate(ds):
-        d = d.withColumn("_i", F.lit(i))
+    for n, d in enumerate(ds):
+        d = d.withColumn(i, F.lit(n))
         out = d if out is None else out.unionByName(d)
-    rest = [c for c in out.columns if c not in (key, "_i")]
-    return out.groupBy(key).agg(F.min_by(F.struct(*rest), "_i").alias("_r")).select(key, "_r.*")
+    rest = [c for c in out.columns if c not in (key, i)]
+    return _unpacked(out.groupBy(key).agg(*_opened(out, rest, lambda r: F.min_by(r, i))), out, [key], rest)
 
 
 def reduce_(d: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -79,7 +93,8 @@ def reduce_(d: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
 
 
 def top_by_key(d: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    return d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    (r,) = free(d)
+    return d.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(r) <= n).drop(r)
 
 
 def union(*sets: DataFrame) -> DataFrame:
@@ -109,7 +124,8 @@ def symmetric_difference(*sets: DataFrame) -> DataFrame:
     for s in sets:
         s = s.distinct()
         out = s if out is None else out.union(s)
-    return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
+    (n,) = free(out)
+    return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) % 2 == 1).drop(n)
 
 
 def make_tsd(pairs: DataFrame, key: str, value: str, removed: str | None = None, op: str = "op") -> DataFrame:

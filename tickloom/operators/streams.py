@@ -15,6 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .names import free
+
+
+#: Slots of a gap that one row holds.
+GAP = 4096
+
 
 @dataclass(frozen=True)
 class Order:
@@ -44,7 +50,9 @@ def position(order: Order) -> Column:
 
 def lag(s: DataFrame, order: Order, value: str, n: int, name: str = "lagged") -> DataFrame:
     """Each tick with the value n ticks before; the first n ticks go."""
-    return s.withColumn(name, F.lag(value, n).over(order.window())).withColumn("_p", position(order)).where(F.col("_p") >= n).drop("_p")
+    (p,) = free(s, other=[name])
+    before, at = F.lag(value, n).over(order.window()), position(order)
+    return s.withColumns({p: at, name: before}).where(F.col(p) >= n).drop(p)
 
 
 def lag_time(s: DataFrame, order: Order, micros: int) -> DataFrame:
@@ -55,39 +63,43 @@ def lag_time(s: DataFrame, order: Order, micros: int) -> DataFrame:
 
 def dedup(s: DataFrame, order: Order, value: str) -> DataFrame:
     """Ticks whose value differs from the one before."""
-    last = F.lag(F.struct(value)).over(order.window())
-    return s.withColumn("_l", last).where(F.col("_l").isNull() | ~F.equal_null(F.col("_l").getField(value), F.col(value))).drop("_l")
+    (p,) = free(s)
+    last = F.lag(F.struct(F.col(value).alias("v"))).over(order.window())
+    return s.withColumn(p, last).where(F.col(p).isNull() | ~F.equal_null(F.col(p)["v"], F.col(value))).drop(p)
+
+
+def _at(s: DataFrame, order: Order, keep) -> DataFrame:
+    """The ticks whose position passes."""
+    (p,) = free(s)
+    return s.withColumn(p, position(order)).where(keep(F.col(p))).drop(p)
 
 
 def take(s: DataFrame, order: Order, n: int, reset: str | None = None) -> DataFrame:
     """The first n ticks, anew after each reset."""
-    if reset:
-        s = segments(s, order, reset)
-        return s.withColumn("_p", F.row_number().over(order.window("segment"))).where(F.col("_p") <= n).drop("_p", "segment")
-    return s.withColumn("_p", position(order)).where(F.col("_p") < n).drop("_p")
+    if not reset:
+        return _at(s, order, lambda p: p < n)
+    segment, p = free(s, count=2)
+    return segments(s, order, reset, segment).withColumn(p, F.row_number().over(order.window(segment))).where(F.col(p) <= n).drop(p, segment)
 
 
 def drop(s: DataFrame, order: Order, n: int) -> DataFrame:
-    return s.withColumn("_p", position(order)).where(F.col("_p") >= n).drop("_p")
+    return _at(s, order, lambda p: p >= n)
 
 
 def drop_time(s: DataFrame, order: Order, micros: int) -> DataFrame:
     """Ticks more than so long after the first."""
+    (p,) = free(s)
     t = F.unix_micros(F.col(order.by[0]).cast("timestamp"))
     first = F.min(t).over(Window.partitionBy(*order.keys))
-    return s.withColumn("_a", t - first).where(F.col("_a") > micros).drop("_a")
+    return s.withColumn(p, t - first).where(F.col(p) > micros).drop(p)
 
 
 def step(s: DataFrame, order: Order, n: int) -> DataFrame:
-    return s.withColumn("_p", position(order)).where(F.col("_p") % n == 0).drop("_p")
+    return _at(s, order, lambda p: p % n == 0)
 
 
 def slice_(s: DataFrame, order: Order, start: int, stop: int | None, stride: int = 1) -> DataFrame:
-    p = F.col("_p")
-    keep = (p >= start) & ((p - start) % stride == 0)
-    if stop is not None:
-        keep &= p < stop
-    return s.withColumn("_p", position(order)).where(keep).drop("_p")
+    return _at(s, order, lambda p: (p >= start) & ((p - start) % stride == 0) & (F.lit(True) if stop is None else p < stop))
 
 
 def segments(s: DataFrame, order: Order, reset: str, name: str = "segment") -> DataFrame:
@@ -97,26 +109,57 @@ def segments(s: DataFrame, order: Order, reset: str, name: str = "segment") -> D
 
 def running(s: DataFrame, order: Order, reset: str | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates over all ticks so far, anew after each reset."""
+    (segment,) = free(s, other=aggregates)
     if reset:
-        s = segments(s, order, reset)
-    w = order.so_far(*["segment"] if reset else [])
-    out = s.withColumns({name: c.over(w) for name, c in aggregates.items()})
-    return out.drop("segment") if reset else out
+        s = segments(s, order, reset, segment)
+    w = order.so_far(*[segment] if reset else [])
+    return s.withColumns({name: c.over(w) for name, c in aggregates.items()}).drop(segment)
+
+
+def count(s: DataFrame, order: Order, reset: str | None = None, name: str = "count") -> DataFrame:
+    """How many ticks so far, anew after each reset."""
+    return running(s, order, reset, **{name: F.count(F.lit(1))})
+
+
+def accumulate(s: DataFrame, order: Order, value: str, reset: str | None = None, name: str = "accumulated") -> DataFrame:
+    """The sum of the values so far."""
+    return running(s, order, reset, **{name: F.sum(value)})
+
+
+def average(s: DataFrame, order: Order, value: str, reset: str | None = None, name: str = "average") -> DataFrame:
+    """The mean of the values so far."""
+    return running(s, order, reset, **{name: F.avg(value)})
 
 
 def improving(s: DataFrame, order: Order, value: str, largest: bool, name: str = "extreme") -> DataFrame:
     """Running minimum or maximum; a tick for each new one."""
-    f = F.max if largest else F.min
-    before = f(value).over(order.window().rowsBetween(Window.unboundedPreceding, -1))
-    better = F.col(value) > F.col("_b") if largest else F.col(value) < F.col("_b")
-    return s.withColumn("_b", before).where(F.col("_b").isNull() | better).drop("_b").withColumn(name, F.col(value))
+    (p,) = free(s)
+    before = (F.max if largest else F.min)(value).over(order.window().rowsBetween(Window.unboundedPreceding, -1))
+    better = F.col(value) > F.col(p) if largest else F.col(value) < F.col(p)
+    return s.withColumn(p, before).where(F.col(p).isNull() | better).drop(p).withColumn(name, F.col(value))
 
 
 def rolling(s: DataFrame, order: Order, n: int, least: int | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates of the last n ticks, from the least-th tick on (default n)."""
+    (p,) = free(s, other=aggregates)
     w = order.last_rows(n)
-    out = s.withColumns({name: c.over(w) for name, c in aggregates.items()}).withColumn("_p", position(order))
-    return out.where(F.col("_p") >= (least or n) - 1).drop("_p")
+    out = s.withColumns({p: position(order)} | {name: c.over(w) for name, c in aggregates.items()})
+    return out.where(F.col(p) >= (least or n) - 1).drop(p)
+
+
+def rolling_mean(s: DataFrame, order: Order, value: str, n: int, least: int | None = None, name: str = "mean") -> DataFrame:
+    return rolling(s, order, n, least, **{name: F.avg(value)})
+
+
+def rolling_var(s: DataFrame, order: Order, value: str, n: int, least: int | None = None, ddof: int = 0, name: str = "var") -> DataFrame:
+    """The variance of the last n ticks."""
+    (p,) = free(s)
+    return rolling(s, order, n, least, **{p: (F.var_pop if ddof == 0 else F.var_samp)(value)}).withColumn(name, F.coalesce(p, F.lit(float("nan")))).drop(p)
+
+
+def rolling_std(s: DataFrame, order: Order, value: str, n: int, least: int | None = None, ddof: int = 0, name: str = "std") -> DataFrame:
+    """The deviation of the last n ticks."""
+    return rolling_var(s, order, value, n, least, ddof, name).withColumn(name, F.sqrt(name))
 
 
 def rolling_time(s: DataFrame, order: Order, micros: int, least_micros: int = 0, **aggregates: Column) -> DataFrame:
@@ -127,28 +170,32 @@ def rolling_time(s: DataFrame, order: Order, micros: int, least_micros: int = 0,
     if least_micros <= 0:
         return out
     t = F.unix_micros(F.col(order.by[0]).cast("timestamp"))
-    return out.withColumn("_e", t - F.min(t).over(w)).where(F.col("_e") >= least_micros).drop("_e")
+    (p,) = free(out)
+    return out.withColumn(p, t - F.min(t).over(w)).where(F.col(p) >= least_micros).drop(p)
 
 
 def diff(s: DataFrame, order: Order, value: str, name: str = "diff") -> DataFrame:
-    return lag(s, order, value, 1, "_v").withColumn(name, F.col(value) - F.col("_v")).drop("_v")
+    (p,) = free(s)
+    return lag(s, order, value, 1, p).withColumn(name, F.col(value) - F.col(p)).drop(p)
 
 
 def pct_change(s: DataFrame, order: Order, value: str, n: int = 1, name: str = "pct_change") -> DataFrame:
-    out = lag(s, order, value, n, "_v")
-    return out.withColumn(name, F.try_divide(F.col(value) - F.col("_v"), F.col("_v"))).drop("_v")
+    (p,) = free(s)
+    return lag(s, order, value, n, p).withColumn(name, F.try_divide(F.col(value) - F.col(p), F.col(p))).drop(p)
 
 
 def clip(value: Column, low, high) -> Column:
+    """Null stays null and NaN stays NaN."""
     if low > high:
         raise ValueError("the lower bound is above the upper")
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value < low, F.lit(low)).when((value > high) & ~F.isnan(value), F.lit(high)).otherwise(value)
 
 
 def until_true(s: DataFrame, order: Order, predicate: str) -> DataFrame:
     """All ticks up to the first where the predicate holds."""
     before = F.sum(F.coalesce(F.col(predicate), F.lit(False)).cast("int")).over(order.window().rowsBetween(Window.unboundedPreceding, -1))
-    return s.withColumn("_n", F.coalesce(before, F.lit(0))).where("_n = 0").drop("_n")
+    (p,) = free(s)
+    return s.withColumn(p, F.coalesce(before, F.lit(0))).where(F.col(p) == 0).drop(p)
 
 
 def freeze(s: DataFrame, order: Order, predicate: str) -> DataFrame:
@@ -156,7 +203,8 @@ def freeze(s: DataFrame, order: Order, predicate: str) -> DataFrame:
     before = order.window().rowsBetween(Window.unboundedPreceding, -1)
     known = F.count(predicate).over(order.so_far()) > 0
     ended = F.coalesce(F.max(predicate).over(before), F.lit(False))
-    return s.withColumn("_k", known & ~ended).where("_k").drop("_k")
+    (p,) = free(s)
+    return s.withColumn(p, known & ~ended).where(F.col(p)).drop(p)
 
 
 def window(s: DataFrame, order: Order, value: str, n: int, least: int | None = None) -> DataFrame:
@@ -164,65 +212,77 @@ def window(s: DataFrame, order: Order, value: str, n: int, least: int | None = N
     if n < 1:
         raise ValueError("a window has at least one tick")
     ticks = F.collect_list(F.struct(F.col(order.by[0]).alias("t"), F.col(value).alias("v"))).over(order.last_rows(n))
-    out = s.withColumn("_w", ticks).where(F.size("_w") >= (n if least is None else least))
-    return out.withColumn("buffer", F.col("_w.v")).withColumn("index", F.col("_w.t")).drop("_w")
-
-
-def combine_latest(a: DataFrame, b: DataFrame, order: Order, a_value: str, b_value: str, all_valid: bool = True) -> DataFrame:
-    """One tick whenever either input ticks, with the latest value of both.
-    The inputs share the names of their keys and order columns.  As a union
-    and one window: no join, and one shuffle on the keys."""
-    both = a.select(*order.keys, *order.by, F.col(a_value), F.lit(None).cast(dict(b.dtypes)[b_value]).alias(b_value), F.lit(0).alias("_i")).unionByName(
-        b.select(*order.keys, *order.by, F.lit(None).cast(dict(a.dtypes)[a_value]).alias(a_value), F.col(b_value), F.lit(1).alias("_i")))
-    w = Window.partitionBy(*order.keys).orderBy(*order.by, "_i").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({a_value: F.last(a_value, ignorenulls=True).over(w), b_value: F.last(b_value, ignorenulls=True).over(w)})
-    last = Window.partitionBy(*order.keys, *order.by).orderBy(F.desc("_i"))
-    out = out.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_i")
+    (p,) = free(s)
+    out = s.withColumn(p, ticks).where(F.size(p) >= (n if least is None else least))
+    return out.withColumn("buffer", F.col(p)["v"]).withColumn("index", F.col(p)["t"]).drop(p)
+
+
+def combine_latest(a: DataFrame, b: DataFrame, order: Order, a_value: str, b_value: str, all_valid: bool = True, passive: str | None = None) -> DataFrame:
+    """One tick whenever either input ticks, with the latest value of both; a
+    tick of `passive` (the value's name) alone gives none.  The inputs share the
+    names of their keys and order columns.  As a union and one sort: no join,
+    and one shuffle on the keys."""
+    side, after, active = free(a, b, count=3)
+    both = a.select(*order.keys, *order.by, F.col(a_value), F.lit(None).cast(dict(b.dtypes)[b_value]).alias(b_value), F.lit(0).alias(side)).unionByName(
+        b.select(*order.keys, *order.by, F.lit(None).cast(dict(a.dtypes)[a_value]).alias(a_value), F.col(b_value), F.lit(1).alias(side)))
+    line = Window.partitionBy(*order.keys).orderBy(*order.by, side)
+    w = line.rowsBetween(Window.unboundedPreceding, 0)
+    last = {a_value: F.last(a_value, ignorenulls=True).over(w), b_value: F.last(b_value, ignorenulls=True).over(w), after: F.lead(F.struct(*order.by)).over(line)}
+    if passive:
+        # a cycle's rows are side by side: the last one knows whether the other input ticked in it
+        mine = F.col(side) == (1 if passive == a_value else 0)
+        last[active] = mine | F.coalesce(F.lag(F.struct(*order.by, mine.alias("m"))).over(line) == F.struct(*order.by, F.lit(True).alias("m")), F.lit(False))
+    out = both.withColumns(last).where(F.col(after).isNull() | (F.col(after) != F.struct(*order.by)))
+    out = (out.where(F.col(active)) if passive else out).select(*order.keys, *order.by, a_value, b_value)
     return out.where(F.col(a_value).isNotNull() & F.col(b_value).isNotNull()) if all_valid else out
 
 
 def sample(signal: DataFrame, s: DataFrame, order: Order, value: str) -> DataFrame:
     """At each tick of the signal the latest value of s (none before its first)."""
-    both = signal.select(*order.keys, *order.by, F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(True).alias("_s")).unionByName(s.select(*order.keys, *order.by, value, F.lit(False).alias("_s")))
-    w = Window.partitionBy(*order.keys).orderBy(*order.by, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where(F.col("_s") & F.col(value).isNotNull()).drop("_s")
+    (p,) = free(signal, s)
+    both = signal.select(*order.keys, *order.by, F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(True).alias(p)).unionByName(s.select(*order.keys, *order.by, value, F.lit(False).alias(p)))
+    w = Window.partitionBy(*order.keys).orderBy(*order.by, p).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where(F.col(p) & F.col(value).isNotNull()).drop(p)
 
 
 def filter_by(condition: DataFrame, s: DataFrame, order: Order, flag: str, value: str) -> DataFrame:
     """Ticks of s while the latest condition holds, and the latest value of s
     when the condition turns true after s has ticked under a false one."""
-    both = condition.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(0).alias("_i")).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value, F.lit(1).alias("_i")))
-    line = Window.partitionBy(*order.keys).orderBy(*order.by, "_i")
+    i, c, v, o, new, was, shown = free(condition, s, count=7)
+    both = condition.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(0).alias(i)).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value, F.lit(1).alias(i)))
+    line = Window.partitionBy(*order.keys).orderBy(*order.by, i)
     w = line.rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({"_c": F.last(flag, ignorenulls=True).over(w), "_v": F.last(value, ignorenulls=True).over(w)})
-    out = out.withColumn("_o", F.coalesce(F.col("_c"), F.lit(False)))
-    out = out.withColumn("_new", F.sum(F.when((F.col("_i") == 1) & ~F.col("_o"), 1).otherwise(0)).over(w))
-    out = out.withColumn("_was", F.coalesce(F.lag("_o").over(line), F.lit(False)))
-    seen = F.coalesce(F.max(F.when(F.col("_o") & F.col("_v").isNotNull(), F.col("_new"))).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("_seen", seen)
-    opens = (F.col("_i") == 0) & F.col("_o") & ~F.col("_was") & (F.col("_new") > F.col("_seen")) & F.col("_v").isNotNull()
-    return out.where((F.col("_o") & (F.col("_i") == 1)) | opens).select(*order.keys, *order.by, F.col("_v").alias(value))
+    out = both.withColumns({c: F.last(flag, ignorenulls=True).over(w), v: F.last(value, ignorenulls=True).over(w)})
+    out = out.withColumn(o, F.coalesce(F.col(c), F.lit(False)))
+    out = out.withColumn(new, F.sum(F.when((F.col(i) == 1) & ~F.col(o), 1).otherwise(0)).over(w))
+    out = out.withColumn(was, F.coalesce(F.lag(o).over(line), F.lit(False)))
+    seen = F.coalesce(F.max(F.when(F.col(o) & F.col(v).isNotNull(), F.col(new))).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn(shown, seen)
+    opens = (F.col(i) == 0) & F.col(o) & ~F.col(was) & (F.col(new) > F.col(shown)) & F.col(v).isNotNull()
+    return out.where((F.col(o) & (F.col(i) == 1)) | opens).select(*order.keys, *order.by, F.col(v).alias(value))
+
+
+def _numbered(streams: Sequence[DataFrame], name: str) -> DataFrame:
+    """All ticks, with the number of their input."""
+    out = None
+    for i, s in enumerate(streams):
+        s = s.withColumn(name, F.lit(i))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def merge(streams: Sequence[DataFrame], order: Order) -> DataFrame:
     """All ticks; where several inputs tick at once, the first input's."""
-    out = None
-    for i, s in enumerate(streams):
-        s = s.withColumn("_i", F.lit(i))
-        out = s if out is None else out.unionByName(s)
-    w = Window.partitionBy(*order.keys, *order.by).orderBy("_i")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_i")
+    i, r = free(*streams, count=2)
+    w = Window.partitionBy(*order.keys, *order.by).orderBy(i)
+    return _numbered(streams, i).withColumn(r, F.row_number().over(w)).where(F.col(r) == 1).drop(r, i)
 
 
 def race(streams: Sequence[DataFrame], order: Order) -> DataFrame:
     """Per key the ticks of the input that ticked first (the earlier one of equals)."""
-    out = None
-    for i, s in enumerate(streams):
-        s = s.withColumn("_i", F.lit(i))
-        out = s if out is None else out.unionByName(s)
-    first = Window.partitionBy(*order.keys)
-    winner = F.min(F.struct(*order.by, "_i")).over(first)
-    return out.withColumn("_w", winner).where("_w._i = _i").drop("_w", "_i")
+    i, r = free(*streams, count=2)
+    winner = F.min(F.struct(*order.by, F.col(i).alias("input"))).over(Window.partitionBy(*order.keys))
+    return _numbered(streams, i).withColumn(r, winner).where(F.col(r)["input"] == F.col(i)).drop(r, i)
 
 
 def if_then_else(condition: str, then: Column, otherwise: Column) -> Column:
@@ -237,24 +297,28 @@ def resample(s: DataFrame, order: Order, value: str, micros: int) -> DataFrame:
     slot = F.ceil(t / micros).cast("long")
     last = s.groupBy(*order.keys, slot.alias("slot")).agg(F.max_by(value, F.struct(*order.by)).alias(value))
     following = F.lead("slot").over(Window.partitionBy(*order.keys).orderBy("slot"))
-    out = last.withColumn("_n", F.coalesce(following, F.col("slot") + 1)).withColumn("slot", F.explode(F.sequence("slot", F.col("_n") - 1)))
+    # a long gap is filled in two steps, so that no row holds more than GAP slots
+    stop = F.coalesce(following, F.col("slot") + 1) - 1
+    out = last.withColumn("__stop", stop).withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("__stop"), F.lit(GAP))))
+    out = out.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.least(F.col("slot") + GAP - 1, F.col("__stop")))))
     return out.select(*order.keys, F.timestamp_micros(F.col("slot") * micros).alias(order.by[0]), value)
 
 
 def gate(condition: DataFrame, s: DataFrame, order: Order, flag: str, value: str) -> DataFrame:
     """Ticks of s; those under a false condition wait until it turns true and
     then follow one microsecond apart, in order."""
-    both = condition.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(0).alias("_i")).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value, F.lit(1).alias("_i")))
-    line = Window.partitionBy(*order.keys).orderBy(*order.by, "_i")
+    i, o, opened, nth, left = free(condition, s, count=5)
+    both = condition.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value), F.lit(0).alias(i)).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value, F.lit(1).alias(i)))
+    line = Window.partitionBy(*order.keys).orderBy(*order.by, i)
     t = F.unix_micros(F.col(order.by[0]).cast("timestamp"))
-    out = both.withColumn("_o", F.coalesce(F.last(flag, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
-    opens = F.first(F.when((F.col("_i") == 0) & F.col("_o"), t), ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("_open", F.when(F.col("_o"), t).otherwise(opens)).where("_i = 1 AND _open IS NOT NULL")
+    out = both.withColumn(o, F.coalesce(F.last(flag, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    opens = F.first(F.when((F.col(i) == 0) & F.col(o), t), ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    out = out.withColumn(opened, F.when(F.col(o), t).otherwise(opens)).where((F.col(i) == 1) & F.col(opened).isNotNull())
     # the k-th waiting tick leaves k microseconds after the opening, never before its predecessor
     k = F.row_number().over(Window.partitionBy(*order.keys).orderBy(*order.by)) - 1
-    out = out.withColumn("_k", k)
-    leave = F.max(F.col("_open") - F.col("_k")).over(Window.partitionBy(*order.keys).orderBy(*order.by).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_k")
-    return out.withColumn("_l", leave).select(*order.keys, F.timestamp_micros("_l").alias(order.by[0]), *order.by[1:], value)
+    out = out.withColumn(nth, k)
+    leave = F.max(F.col(opened) - F.col(nth)).over(Window.partitionBy(*order.keys).orderBy(*order.by).rowsBetween(Window.unboundedPreceding, 0)) + F.col(nth)
+    return out.withColumn(left, leave).select(*order.keys, F.timestamp_micros(left).alias(order.by[0]), *order.by[1:], value)
 
 
 def schedule(spark, start: str, count: int, micros: int) -> DataFrame:
@@ -301,10 +365,27 @@ def time_in_range(s: DataFrame, order: Order, start: str, end: str, name: str =
 
 def freeze_by(predicate: DataFrame, s: DataFrame, order: Order, flag: str, value: str) -> DataFrame:
     """Ticks of s from the first predicate on until a true one.  At a true
-    predicate the latest value of s comes out, as the last tick, if it has one."""
+    predicate the latest value of s comes out, as the last tick, if it has one.
+    Keys and order name a tick; of several with the same, a true predicate and
+    the largest value count."""
     both = predicate.select(*order.keys, *order.by, F.col(flag), F.lit(None).cast(dict(s.dtypes)[value]).alias(value)).unionByName(s.select(*order.keys, *order.by, F.lit(None).cast("boolean").alias(flag), value))
     cycles = both.groupBy(*order.keys, *order.by).agg(F.max(flag).alias(flag), F.max(value).alias(value))
+    known, ended, v = free(cycles, count=3)
     so_far, before = order.so_far(), order.window().rowsBetween(Window.unboundedPreceding, -1)
-    out = cycles.withColumns({"_k": F.count(flag).over(so_far) > 0, "_e": F.coalesce(F.max(flag).over(before), F.lit(False)), "_v": F.last(value, ignorenulls=True).over(so_far)})
+    out = cycles.withColumns({known: F.count(flag).over(so_far) > 0, ended: F.coalesce(F.max(flag).over(before), F.lit(False)), v: F.last(value, ignorenulls=True).over(so_far)})
     shown = F.col(value).isNotNull() | F.coalesce(F.col(flag), F.lit(False))
-    return out.where(F.col("_k") & ~F.col("_e") & shown & F.col("_v").isNotNull()).select(*order.keys, *order.by, F.col("_v").alias(value))
+    return out.where(F.col(known) & ~F.col(ended) & shown & F.col(v).isNotNull()).select(*order.keys, *order.by, F.col(v).alias(value))
+
+
+def request_id(s: DataFrame, by: Sequence[str], name: str = "request_id") -> DataFrame:
+    """A whole number for each distinct `by`, different from all others of the
+    frame and the same whenever the frame is read again: partitions count apart."""
+    from ..sources.shared import checkpointed
+
+    ids = checkpointed(s.select(*by).distinct().withColumn(name, F.monotonically_increasing_id()))
+    (k,) = free(s, other=[name])
+    same = F.lit(True)
+    right = ids.select(F.struct(*by).alias(k), name)
+    for c in by:
+        same = same & s[c].eqNullSafe(right[k][c])
+    return s.join(right, same).drop(k)

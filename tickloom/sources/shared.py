@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the session's checkpoint folder.  A folder of our own
-    only where the session names none, as in tests on one machine."""
+    only where a local session names none, as in tests on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tickloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tickloom-"))
     return df.checkpoint()

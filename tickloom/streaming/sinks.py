@@ -76,3 +76,14 @@ def running(s: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     picked = s.select(*keys, F.col(value).cast("long").alias(value))
     return picked.groupBy(*keys).applyInPandasWithState(step, f"{fields}, n long, total long", "n long, total long", "update", "NoTimeout")
+
+
+def call(s: DataFrame, function: Callable, *args: Column) -> None:
+    """The function for each row, on the executors, for what it does; its values are dropped."""
+    names = [f"a{i}" for i in range(len(args))]
+
+    def run(rows):
+        for r in rows:
+            function(*r)
+
+    s.select(*[a.alias(n) for a, n in zip(args, names, strict=True)]).foreachPartition(run)
