@@ -15,7 +15,7 @@ HOWS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "sem
 def from_frame(df: DataFrame, dt: str, value: str, key: str | None = None, offset_micros: int = 0) -> DataFrame:
     """A frame's rows as ticks at their time; a null value is no tick."""
     t = F.timestamp_micros(F.unix_micros(F.col(dt).cast("timestamp")) + offset_micros)
-    return df.where(F.col(value).isNotNull()).select(t.alias("ts"), *[F.col(key).alias("key")] * bool(key), F.col(value).alias("value"))
+    return df.where(F.col(value).isNotNull()).select(t.alias("ts"), *([F.col(key).alias("key")] if key else []), F.col(value).alias("value"))
 
 
 def from_frame_batches(batches: Sequence[DataFrame], dt: str, value: str, key: str | None = None, offset_micros: int = 0) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import keyed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "combine_latest_add"
@@ -30,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL")
 def keyed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+    return keyed.reduce_(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], sum_qty=F.sum("l_quantity"), n=F.count(F.lit(1)))
 
 
-from . import graph_queries, stream_queries, value_queries  # noqa: E402, F401
+from . import graph_queries, more_queries, stream_queries, value_queries  # noqa: E402, F401

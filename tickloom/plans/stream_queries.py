@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import containers as C
+from ..functions import convert as V
 from ..functions import scalar as S
 from ..operators import fold, frames, keyed, streams
 from ..operators.streams import Order
@@ -31,7 +33,8 @@ def stream_lag(spark, d):
 
 @query(f"WITH {EVENTS} SELECT event_id, user_id, us + 5000000 AS us FROM e")
 def stream_lag_time(spark, d):
-    return out(events(spark, d), (F.col("us") + 5_000_000).alias("us"))
+    late = streams.lag_time(events(spark, d).withColumn("ts", F.timestamp_micros("us")), Order(("user_id",), ("ts", "event_id")), 5_000_000)
+    return out(late, F.unix_micros("ts").alias("us"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT *, lag(event_type) OVER {W} AS b, row_number() OVER {W} AS p FROM e) SELECT event_id, user_id, event_type FROM w WHERE p = 1 OR b IS DISTINCT FROM event_type")
@@ -110,9 +113,13 @@ def analytics_pct_change(spark, d):
     return out(streams.pct_change(events(spark, d), U, "cents").withColumn("pct_change", F.round("pct_change", 6)), "pct_change")
 
 
-@query(f"WITH {EVENTS} SELECT event_id, user_id, greatest(500, least(2000, cents)) AS clipped FROM e")
+@query(f"WITH {EVENTS} SELECT event_id, user_id, CASE WHEN cents < 500 THEN 500 WHEN cents > 2000 THEN 2000 ELSE cents END AS clipped, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'nan' WHEN value < 5 THEN '5' WHEN value > 20 THEN '20' ELSE 'same' END AS odd FROM e")
 def analytics_clip(spark, d):
-    return out(events(spark, d), streams.clip(F.col("cents"), 500, 2000).cast("long").alias("clipped"))
+    """Null stays null, NaN stays NaN."""
+    x = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    c = streams.clip(x, 5.0, 20.0)
+    odd = F.when(F.isnan(c), "nan").when((c == 5) & (x < 5), "5").when((c == 20) & (x > 20), "20").when(c == x, "same")
+    return out(events(spark, d), streams.clip(F.col("cents"), 500, 2000).cast("long").alias("clipped"), odd.alias("odd"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT *, sum(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM e) SELECT event_id, user_id FROM w WHERE coalesce(n, 0) = 0")
@@ -165,9 +172,12 @@ def analytics_ewma(spark, d):
     return out(fold.ewma(events(spark, d), U, "cents", 0.2), F.round("ewma", 4).alias("ewma"))
 
 
-@query(f"WITH {EVENTS}, w AS (SELECT *, stddev_pop(cents) OVER {RUN} AS s, var_pop(cents) OVER {RUN} AS v FROM e) SELECT event_id, user_id, round(s + 3e-7, 5) AS std, round(v + 1e-6, 4) AS var FROM w")
+@query(f"WITH {EVENTS}, w AS (SELECT event_id, user_id, count(cents) OVER {RUN} AS n, CAST(sum(cents) OVER {RUN} AS BIGINT) AS s, CAST(sum(cents * cents) OVER {RUN} AS BIGINT) AS q FROM e) SELECT event_id, user_id, CAST(n * q - s * s AS BIGINT) AS var, CAST(n * q - s * s AS BIGINT) AS std FROM w")
 def analytics_std_var(spark, d):
-    return out(streams.running(events(spark, d), U, sd=F.stddev_pop("cents"), vr=F.var_pop("cents")), F.round(F.col("sd") + 3e-7, 5).alias("std"), F.round(F.col("vr") + 1e-6, 4).alias("var"))
+    """n squared times the variance, and times the deviation squared: whole numbers, so nothing rests on rounding."""
+    e = streams.running(events(spark, d), U, sd=F.stddev_pop("cents"), vr=F.var_pop("cents"), n=F.count("cents"))
+    whole = lambda c: F.round(c * F.col("n") * F.col("n")).cast("long")
+    return out(e, whole(F.col("sd") * F.col("sd")).alias("std"), whole(F.col("vr")).alias("var"))
 
 
 @query(f"WITH {EVENTS} SELECT user_id, arg_max(event_id, (us, event_id)) AS event_id, arg_max(cents, (us, event_id)) AS cents FROM e GROUP BY user_id")
@@ -274,19 +284,32 @@ def range_predicates(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_as_int(spark, d):
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    return table(spark, d, "events").select("event_id", V.json_as_int(F.try_variant_get(C.json_decode(F.col("props")), "$.k", "variant")).alias("k"))
 
 
+HOUR = 3_600_000_000
+
+
+# One row at a time: is the tick sent at once (it opens a period), held to the end of the running one, or does it follow a held one?
+@query(f"""WITH RECURSIVE {EVENTS}, l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, us ORDER BY event_id DESC) = 1), o AS (SELECT *, row_number() OVER {W} AS p FROM l),
+r AS (SELECT user_id, event_id, cents, us, p, us + {HOUR} AS due, false AS held, NULL::BIGINT AS sent_us, NULL::BIGINT AS sent_id, NULL::BIGINT AS sent_cents, true AS now FROM o WHERE p = 1
+UNION ALL SELECT x.user_id, x.event_id, x.cents, x.us, x.p, CASE WHEN x.now THEN x.us + {HOUR} ELSE x.after END, NOT x.now, x.s_us, x.s_id, x.s_cents, x.now FROM (
+SELECT o.user_id, o.event_id, o.cents, o.us, o.p, CASE WHEN r.held AND o.us > r.due THEN r.due + {HOUR} ELSE r.due END AS after, o.us >= CASE WHEN r.held AND o.us > r.due THEN r.due + {HOUR} ELSE r.due END AS now,
+CASE WHEN r.held AND o.us > r.due THEN r.due END AS s_us, CASE WHEN r.held AND o.us > r.due THEN r.event_id END AS s_id, CASE WHEN r.held AND o.us > r.due THEN r.cents END AS s_cents
+FROM r JOIN o ON o.user_id = r.user_id AND o.p = r.p + 1) x)
+SELECT user_id, us, event_id, cents FROM r WHERE now UNION ALL SELECT user_id, sent_us, sent_id, sent_cents FROM r WHERE sent_us IS NOT NULL
+UNION ALL SELECT user_id, due, event_id, cents FROM r WHERE held AND p = (SELECT max(p) FROM o WHERE o.user_id = r.user_id)""")
 def stream_throttle(spark, d):
     e = events(spark, d).withColumn("ts", F.timestamp_micros("us")).select("user_id", "ts", "event_id", "cents")
-    return fold.throttle(e, Order(("user_id",), ("ts", "event_id")), 3_600_000_000)
+    return out(fold.throttle(e, Order(("user_id",), ("ts", "event_id")), HOUR), F.unix_micros("ts").alias("us"), "cents")
 
 
+@query(f"""WITH {EVENTS}, w AS (SELECT *, coalesce(last_value(CASE WHEN event_type IN ('click', 'view') THEN event_type = 'view' END IGNORE NULLS) OVER {RUN}, false) AS open,
+min(CASE WHEN event_type = 'view' THEN us END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS following FROM e),
+p AS (SELECT *, CASE WHEN open THEN us ELSE following END AS leaves, row_number() OVER {W} - 1 AS k FROM w WHERE event_type = 'purchase' AND (open OR following IS NOT NULL))
+SELECT event_id, user_id, cents, max(leaves - k) OVER {RUN} + k AS us FROM p""")
 def stream_gate(spark, d):
     e = events(spark, d).withColumn("ts", F.timestamp_micros("us"))
     cond = e.where("event_type IN ('click', 'view')").select("user_id", "ts", "event_id", (F.col("event_type") == "view").alias("open"))
-    return streams.gate(cond, e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "cents"), Order(("user_id",), ("ts", "event_id")), "open", "cents")
-
-
-query()(stream_throttle)
-query()(stream_gate)
+    g = streams.gate(cond, e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "cents"), Order(("user_id",), ("ts", "event_id")), "open", "cents")
+    return out(g, "cents", F.unix_micros("ts").alias("us"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arithmetic as A
 from ..functions import containers as C
 from ..functions import dates as D
 from ..functions import scalar as S
@@ -123,4 +124,4 @@ def rolling_mean(spark, d):
 def scalar_bits(spark, d):
     c, m = F.col("cents"), F.lit(255).cast("long")
     flags = control.all_(c > 1000, ~(c > 4000))
-    return events(spark, d).select("event_id", c.bitwiseAND(m).alias("both"), c.bitwiseOR(m).alias("either"), c.bitwiseXOR(m).alias("one"), F.bitwise_not(c).alias("flipped"), F.abs(3000 - c).alias("distance"), F.signum(3000 - c).cast("int").alias("side"), flags.alias("inside"))
+    return events(spark, d).select("event_id", A.bit_and(c, m).alias("both"), A.bit_or(c, m).alias("either"), A.bit_xor(c, m).alias("one"), A.invert_(c).alias("flipped"), A.abs_(3000 - c).alias("distance"), A.sign(3000 - c).cast("int").alias("side"), flags.alias("inside"))
