@@ -11,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .functions import arithmetic, containers, convert, dates, scalar, text
+from .functions import arithmetic, containers, convert, dates, eager, scalar, text
 from .operators import control, fold, frames, graph, keyed, streams
-from .plans import authoring
+from .plans import authoring, models
 from .sources import frames as sources
 from .sources import recording
 from .streaming import live, sinks
 
 MODULES = {
     "arithmetic": arithmetic, "containers": containers, "convert": convert, "dates": dates, "scalar": scalar, "text": text, "control": control, "fold": fold, "frames": frames,
-    "graph": graph, "keyed": keyed, "streams": streams, "authoring": authoring, "sources": sources, "recording": recording, "live": live, "sinks": sinks,
+    "graph": graph, "keyed": keyed, "streams": streams, "authoring": authoring, "sources": sources, "recording": recording, "live": live, "sinks": sinks, "models": models, "eager": eager,
 }
 
 

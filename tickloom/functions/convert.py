@@ -59,12 +59,11 @@ def combine_tss_from_tsl(*items: Column) -> Column:
 
 
 def combine_map(keys: Column, values: Column) -> Column:
-    """A repeated key takes its last value and place.  Sorted by key, not compared pair by pair."""
+    """A repeated key takes its last value.  Sorted by key, not compared pair by pair."""
     entries = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: F.struct(x["k"].alias("key"), i.alias("place"), x["v"].alias("value")))
     found = F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(x["place"] - y["place"]))
     last = F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["key"] != x["key"], F.lit(True)))
-    back = F.array_sort(F.transform(last, lambda x: F.struct(x["place"].alias("place"), x["key"].alias("key"), x["value"].alias("value"))), lambda x, y: x["place"] - y["place"])
-    return F.map_from_entries(F.transform(back, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
 
 
 def combine_date(year: Column, month: Column, day: Column) -> Column:

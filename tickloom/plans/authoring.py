@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,3 +85,81 @@ def span_to_alpha(span: float) -> float:
     if span < 1:
         raise ValueError("a span is at least 1")
     return 2 / (span + 1)
+
+
+# Names that are bound later, values in a scope, pairs of source and sink, and plans side by side.
+
+
+class DelayedBinding:
+    """A frame that is used before it is made.  It is a name, not a circle: reading it unbound, or binding it twice, is an error."""
+
+    def __init__(self, name: str = "binding"):
+        self.name, self._made = name, None
+
+    def bind(self, df: DataFrame) -> None:
+        if self._made is not None:
+            raise ValueError(f"{self.name} is bound already")
+        self._made = df
+
+    def __call__(self) -> DataFrame:
+        if self._made is None:
+            raise LookupError(f"{self.name} is not bound")
+        return self._made
+
+
+_scopes: ContextVar[tuple[tuple[str, object], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def context(name: str, value) -> Iterator[None]:
+    """Within the block, `in_context(name)` is the value; inner blocks come first."""
+    token = _scopes.set((*_scopes.get(), (name, value)))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+
+
+def in_context(name: str):
+    for known, value in reversed(_scopes.get()):
+        if known == name:
+            return value
+    raise LookupError(f"no {name} in this context")
+
+
+class Services:
+    """Implementations by path: register one, then ask for it by its path."""
+
+    def __init__(self):
+        self._made: dict[str, Callable] = {}
+
+    def register(self, path: str, implementation: Callable) -> None:
+        if path in self._made:
+            raise ValueError(f"{path} is registered already")
+        self._made[path] = implementation
+
+    def __call__(self, path: str, *args, **named):
+        if path not in self._made:
+            raise LookupError(f"nothing is registered at {path}")
+        return self._made[path](*args, **named)
+
+
+@dataclass(frozen=True)
+class Adaptor:
+    """A boundary to the outside: rows go out through `write`, and come in through `read`."""
+
+    read: Callable[[SparkSession], DataFrame]
+    write: Callable[[DataFrame], None]
+
+    def exchange(self, requests: DataFrame) -> DataFrame:
+        """Send the requests out, then read what has come in."""
+        self.write(requests)
+        return self.read(requests.sparkSession)
+
+
+def side_by_side(plans: Sequence[Callable[[], object]], most: int = 8) -> list:
+    """The results of several plans whose jobs run at the same time, in the plans' order.
+    A plan's error is raised when all have ended."""
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        running = [pool.submit(copy_context().run, p) for p in plans]
+    return [r.result() for r in running]
