@@ -10,17 +10,25 @@ the bound is doubled where one is empty.  Two texts agree on a coordinate with
 the probability of their weighted Jaccard similarity.
 
 Texts with the same words form one node.  Nodes that agree on all rows of a
-band meet in a bucket.  Within a bucket, centres are paired with all others:
-first the node that meets most others over all bands, then in rounds up to
-`CENTRES` more, from the smallest components of the bucket, until the bucket is
-one component or every node was a centre.  A centre leaves its bucket after its
-round.  Left out are only pairs that are connected already and pairs that cannot
-link: one minus the similarity is a metric, so two nodes whose similarities to
-the bucket's first centre differ by more than 1 - `THRESHOLD` are too far apart.
-So all pairs that meet and link are connected in the end.  Where many texts of
-a bucket stay unlinked this takes as many pairs as the square of their number.
-Each pair is held against the exact similarity of the two whole texts, and only
-pairs of `THRESHOLD` or more link.  Classes are connected components.
+band meet in a bucket.  Each pair that is looked at is held against the exact
+similarity of the two whole texts, and only pairs of `THRESHOLD` or more link.
+Classes are connected components.  Two steps find them without all pairs:
+
+1. In each bucket the node that meets most others over all bands is the centre
+   and is paired with all others.
+2. Buckets that are not one component then are searched exactly for the links
+   that are still missing.  The units of their nodes are ranked by how many of
+   these nodes have them, the rarest first.  Two sets of sizes x and y with the
+   similarity t share at least a = t (x + y) / (1 + t) units, so their first
+   common unit is among the first x - a + 1 of one and y - a + 1 of the other
+   (prefix filtering).  Nodes that share such a unit form a group; in a group,
+   nodes of the smallest components are paired with all nodes of other
+   components that the places and sizes allow, up to `CENTRES` in a round, and
+   leave the group after their round, until it is one component.
+
+So all pairs that meet and link are connected in the end, in one component.
+Groups whose texts differ in few common units and stay unlinked still take as
+many pairs as the square of their number.
 
 Special cases: texts without words (null, empty, white space) form one class;
 rows that share an identifier are classed by their own texts, each under the
@@ -34,7 +42,7 @@ empty table gives an empty result; other columns, of any name, are ignored by
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import fresh, partitions, table, written
@@ -45,7 +53,7 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 5
 PART = 512
-#: Centres of a bucket in a round at most.
+#: Centres of a group in a round at most.
 CENTRES = 256
 _PLACE = constants(64, 31)
 _BAND = constants(64, 47)
@@ -222,22 +230,16 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _pairs(live: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
-    """a, b, centre: each centre with the nodes of its bucket that it may link
-    to and is not yet connected with; every pair once.  Buckets are dealt out
-    in parts of `PART`, each with a copy of the centres."""
-    parts = F.ceil(F.col("met") / PART).cast("int")
-    c = centres.select("bucket", F.col("node").alias("centre"), F.col("root").alias("own"), F.col("near").alias("c_near"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    rows = live.withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), parts).cast("int")).join(c, ["bucket", "part"])
-    rows = rows.where(F.col("root") != F.col("own")).where(F.coalesce(F.abs(F.col("near") - F.col("c_near")) <= 1 - threshold + 1e-9, F.lit(True)))
-    return rows.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.min("centre").alias("centre"))
+def _parts(met: Column) -> Column:
+    """In how many parts a group of so many nodes is dealt out."""
+    return F.ceil(met / PART).cast("int")
 
 
-def _nearness(live: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
-    """The nodes with their similarity to the first centre of their bucket."""
-    first = live.join(centres.select("bucket", F.col("node").alias("centre")), "bucket").where("node <> centre")
-    first = first.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
-    return first.drop("near").join(found, ["a", "b"], "left").withColumnRenamed("similarity", "near").select(live.columns)
+def _dealt(rows: DataFrame, centres: DataFrame, group: str) -> DataFrame:
+    """The rows of each group with each of its centres; groups are dealt out in
+    parts of `PART` rows, each with a copy of the centres."""
+    c = centres.withColumn("part", F.explode(F.sequence(F.lit(0), _parts(F.col("met")) - 1))).drop("met")
+    return rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), _parts(F.col("met"))).cast("int")).join(c, [group, "part"])
 
 
 def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,42 +248,76 @@ def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
+def _joined(root: DataFrame, found: DataFrame) -> DataFrame:
+    """The roots (node, root) after the links among `found`."""
+    linked = written(_merged(root, found.where("link").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "links")
+    if linked.isEmpty():
+        return root
+    moved = components(linked).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(root.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+
+def _prefixes(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, n (units), unit, place: the units that can be the first that a node
+    has in common with one it links to, by their place in the common order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi, words, first in _texts(batch.column(1)):
+                found = shingles(words, first)
+                u, n = units(*found), np.diff(found[1])
+                own = pa.array(np.repeat(np.asarray(batch.column(0).slice(lo, hi - lo)), n), batch.schema[0].type)
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(u.view(np.int64))], ["node", "n", "unit"])
+
+    kind = dict(nodes.dtypes)["node"]
+    u = written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, f"node {kind}, n int, unit long"), "units")
+    often = u.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    u = u.join(often, "unit", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    u = u.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "unit")) - 1)
+    # a node's own size is the least that the other's can do for it: x - t x
+    return u.where((F.col("often") > 1) & (F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-6))).select("node", "n", "unit", "place")
+
+
 def _classes(docs: DataFrame, signatures: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
     """doc_id, class_id of every row; no identifier is null or shared."""
     s = signatures
-    nodes = s.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
+    nodes = written(s.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     met = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    met = written(met.join(sizes, "bucket"), "buckets")
-    degree = met.groupBy("node").agg(F.sum("met").alias("degree"))
-    live = met.join(degree, "node").select("bucket", "node", "met", "degree", F.col("node").alias("root"), F.lit(1).cast("long").alias("same"), F.lit(None).cast("double").alias("near"))
-    root, checked, count = degree.select("node", F.col("node").alias("root")), None, 1
-    while True:
-        live = written(live, "live")
-        if live.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy("same", F.desc("degree"), "node")
-        centres = written(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).drop("place"), "centres")
-        pairs = _pairs(live, centres, threshold)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = verified(pairs.select(F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "centre"), docs, text, key, threshold)
-        found = found.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.max("similarity").alias("similarity"))
-        found = written(found, "checked")
-        if checked is None:
-            live = _nearness(live, centres, found)
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
-        live = live.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        linked = written(_merged(root, found.where(F.col("similarity") >= threshold)), "links")
-        if not linked.isEmpty():
-            moved = components(linked).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            root = written(root.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-            live = live.drop("root").join(root, "node")
-        groups = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("same"))
-        several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket")
-        live = live.drop("same").join(groups.join(several, "bucket"), ["bucket", "root"]).select("bucket", "node", "met", "degree", "root", "same", "near")
-        count = min(CENTRES, 16 * count)
+    met = written(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "bucket"), "buckets")
+    degree = written(met.groupBy("node").agg(F.sum("met").alias("degree")), "degrees")
+    texts = written(docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(degree.select("node"), "node", "left_semi"), "met")
+    # 1. the centres of the buckets
+    centres = met.join(degree, "node").groupBy("bucket", "met").agg(F.min(F.struct(-F.col("degree"), "node"))["node"].alias("centre"))
+    pairs = written(_dealt(met, centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    found = written(verified(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")), texts, "text", "node", threshold), "checked")
+    root = _joined(degree.select("node", F.col("node").alias("root")), found)
+    # 2. what links may be missing
+    split = met.join(root, "node").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    left = written(met.join(split, "bucket").select("node").distinct(), "left")
+    if not left.isEmpty():
+        live = written(_prefixes(texts, left, threshold), "prefixes")
+        live = live.join(live.groupBy("unit").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "unit").join(root, "node")
+        checked, count = pairs, 16
+        while True:
+            several = live.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("unit")
+            live = live.join(several, "unit")
+            same = live.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("same"))
+            live = written(live.join(same, ["unit", "root"]), "live")
+            if live.isEmpty():
+                break
+            order = Window.partitionBy("unit").orderBy("same", "place", "node")
+            c = written(live.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= count).select("unit", "met", F.col("node").alias("centre"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), F.col("place").alias("c_place")), "centres")
+            shared = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("c_n")) - 1e-6)
+            fits = (F.col("root") != F.col("c_root")) & (F.col("place") <= F.col("n") - shared) & (F.col("c_place") <= F.col("c_n") - shared)
+            fresh_ = _dealt(live, c, "unit").where(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            pairs = written(fresh_.join(checked, ["a", "b"], "left_anti"), "pairs")
+            found = written(verified(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")), texts, "text", "node", threshold), "checked")
+            checked = checked.union(pairs)
+            root = _joined(root, found)
+            live = live.join(c.select("unit", F.col("centre").alias("node")), ["unit", "node"], "left_anti").drop("root", "same").join(root, "node")
+            count = min(CENTRES, 16 * count)
     of = nodes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
     return s.join(of, ["h1", "h2"]).select("doc_id", "class_id")
 
