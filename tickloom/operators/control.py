@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free
 from .streams import Order
 
 
@@ -58,9 +59,10 @@ def switch_(s: DataFrame, key: str, branches: Mapping[object, Callable[[DataFram
     return out
 
 
-def map_(d: DataFrame, order: Order, child: Callable[[DataFrame, Order], DataFrame], keys: Sequence[str]) -> DataFrame:
-    """`child` for each live key: its windows run within the keys as well."""
-    return child(d, Order(keys=(*keys, *order.keys), by=order.by))
+def map_(d: DataFrame, order: Order, child: Callable[..., DataFrame], keys: Sequence[str], *inputs: Callable[[], DataFrame]) -> DataFrame:
+    """`child` for each live key: its windows run within the keys as well.  The
+    inputs (see `pass_through`) do not take part in the keys: each key gets them whole."""
+    return child(d, Order(keys=(*keys, *order.keys), by=order.by), *[i() for i in inputs])
 
 
 def emit(s: DataFrame, values: str, name: str = "value", position: str = "position") -> DataFrame:
@@ -80,11 +82,21 @@ def valid(s: DataFrame, order: Order, value: str, name: str = "valid") -> DataFr
     """The ticks at which a value becomes usable (not null) or stops to be."""
     w = Window.partitionBy(*order.keys).orderBy(*order.by)
     now = F.col(value).isNotNull()
-    return s.withColumn(name, now).withColumn("__was", F.coalesce(F.lag(now).over(w), F.lit(False))).where(F.col(name) != F.col("__was")).drop("__was")
+    (was,) = free(s, other=[name])
+    return s.withColumn(name, now).withColumn(was, F.coalesce(F.lag(now).over(w), F.lit(False))).where(F.col(name) != F.col(was)).drop(was)
 
 
 def compare(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, name: str = "equal") -> DataFrame:
     """Per tick, whether both streams have the same value; a tick of one alone is unequal."""
-    left = a.select(*on, F.struct(F.col(value)).alias("__a"))
-    right = b.select(*on, F.struct(F.col(value)).alias("__b"))
-    return left.join(right, list(on), "full").select(*on, F.col("__a").eqNullSafe(F.col("__b")).alias(name))
+    x, y = free(a, b, count=2)
+    left = a.select(*on, F.struct(F.col(value)).alias(x))
+    right = b.select(*on, F.struct(F.col(value)).alias(y))
+    return left.join(right, list(on), "full").select(*on, F.col(x).eqNullSafe(F.col(y)).alias(name))
+
+
+def pass_through(frame: DataFrame) -> Callable[[], DataFrame]:
+    """An input of `map_` that every key gets whole."""
+    return lambda: frame
+
+
+no_key = pass_through
