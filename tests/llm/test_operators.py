@@ -273,6 +273,22 @@ def test_lm_scoring(spark, order):
         assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(sum(math.log(s(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))))
 
 
+def test_remaining_counts():
+    """Also where n-grams differ in the bits that hold their places."""
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(r.integers(1, 60))
+        row = np.sort(r.integers(0, 4, n))
+        base = r.integers(1, 1 << 62, 6).astype(np.uint64)
+        base = np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(3)])
+        grams = [np.where(r.random(n) < 0.1, np.uint64(0), r.choice(base ^ np.uint64(k << 40), n)) for k in range(2)]
+        known = np.unique(np.concatenate(grams))
+        known = known[known > 0]
+        got = lm_scoring.remaining(grams, row, np.arange(100, 100 + len(known)))
+        for g, left in zip(grams, got, strict=True):
+            assert left.tolist() == [0 if x == 0 else 100 + np.searchsorted(known, x) - ((g == x) & (row == d)).sum() for x, d in zip(g, row, strict=True)]
+
+
 def test_lm_scoring_registers_trigrams(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r.doc_id, r.log_score) for r in lm_scoring.op3_lm_scoring(spark, sf).collect()}

@@ -37,6 +37,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 
 BYTE = constants(256, 11)
+_IN_WORD = np.where(SPACE, U64(0), BYTE)
 _BASE = 0x9E6C63D0876A9A47
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = constants(4096, 23)
@@ -131,9 +132,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     gaps = np.diff(np.append(first, hi - lo))
     place -= np.repeat(first, gaps)
     place &= 4095
-    value = BYTE[part] * _PLACE[place]
+    value = _IN_WORD[part] * _PLACE[place]
     value ^= value >> U64(29)
-    value[SPACE[part]] = 0
     return mix64(np.add.reduceat(value, first) + lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
