@@ -12,7 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from tickloom.llm import bpe, byte_repeats, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
+from tickloom.llm import bpe, byte_repeats, catalogue, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
 from tickloom.llm._windows import refine, runs_of
 
 from . import fixtures as X
@@ -291,8 +291,20 @@ def test_remaining_counts():
 
 def test_lm_scoring_registers_trigrams(spark):
     sf = "/root/testdata/sf0.001"
-    got = {(r.doc_id, r.log_score) for r in lm_scoring.op3_lm_scoring(spark, sf).collect()}
-    assert got == {(r.doc_id, r.log_score) for r in lm_scoring.score(spark.read.parquet(f"{sf}/documents.parquet"), order=3).collect()}
+    got = {r.doc_id: r.log_score for r in lm_scoring.op3_lm_scoring(spark, sf).collect()}
+    want = {r.doc_id: r.log_score for r in lm_scoring.score(spark.read.parquet(f"{sf}/documents.parquet"), order=3).collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+def test_queries_are_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL[name])
+    got = catalogue.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
 
 
 def test_language_id(spark):

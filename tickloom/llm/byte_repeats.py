@@ -76,3 +76,15 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: boo
 
 def op4_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, b, n, unnest(range(1, n + 1)) AS i FROM d),
+starts AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY b[i:i + 99] ORDER BY doc_id, i) AS k FROM places WHERE i + 99 <= n) WHERE k > 1),
+marked AS (SELECT p.doc_id, p.i, coalesce(p.i - max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) < 100, false) AS gone FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i),
+edges AS (SELECT doc_id, i, gone, gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS edge FROM marked),
+runs AS (SELECT doc_id, gone, min(i) AS low, max(i) AS high FROM (SELECT doc_id, i, gone, sum(CAST(edge AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, gone, run),
+kept AS (SELECT r.doc_id, sum(high - low + 1) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE gone) AS spans, string_agg(hex(b[low:high]), '' ORDER BY low) FILTER (WHERE NOT gone) AS rest FROM runs r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

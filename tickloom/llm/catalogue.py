@@ -17,4 +17,9 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {
+    "op3_lm_scoring": lm_scoring.OP3_SQL,
+    "op4_byte_repeats": byte_repeats.OP4_SQL,
+    "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op9_word_repeats": word_repeats.OP9_SQL,
+}

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import partitions, table
-from ._text import U64, buffers, constants, mix64, slices, sums_by_row, word_bounds, word_hashes
+from ._text import U64, buffers, constants, mix64, slices, word_bounds, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
@@ -192,7 +192,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
         for m in range(1, order):
             context = np.concatenate([[0], left[m - 1][:-1]])
             value = np.where(grams[m] > 0, np.where(left[m] > 0, left[m] / np.maximum(1, context), alpha * value), value)
-        result = sums_by_row(np.log(value), first)
+        result = np.zeros(len(n))
+        result[n > 0] = np.add.reduceat(np.log(value), first[:-1][n > 0]) if len(value) else 0.0
         return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log_score": pa.array(result), "mean_log_score": pa.array(result / np.maximum(1, n))})
 
     kind = dict(d.dtypes)["doc_id"]
@@ -200,4 +201,21 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    """Scores are sums of floats: to three places, and means to six."""
+    found = score(table(spark, sf_dir, "documents"))
+    return found.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, a, b, c, count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, doc_id) AS ca,
+  CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY b, doc_id) END AS cb,
+  CASE WHEN c IS NOT NULL THEN count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, doc_id) END AS cc,
+  count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others FROM p),
+x AS (SELECT *, lag(ca) OVER l AS pa, lag(cb) OVER l AS pb, CASE WHEN ca > 0 THEN CAST(ca AS DOUBLE) / others ELSE 0.4::DOUBLE / (others + 1) END AS one FROM c WINDOW l AS (PARTITION BY doc_id ORDER BY i)),
+y AS (SELECT *, CASE WHEN b IS NULL THEN one WHEN cb > 0 THEN CAST(cb AS DOUBLE) / pa ELSE 0.4::DOUBLE * one END AS two FROM x),
+z AS (SELECT *, CASE WHEN c IS NULL THEN two WHEN cc > 0 THEN CAST(cc AS DOUBLE) / pb ELSE 0.4::DOUBLE * two END AS three FROM y),
+s AS (SELECT doc_id, fsum(ln(three)) AS s FROM z GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 3) AS log_score, round(coalesce(s, 0) / greatest(1, len(w)), 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""

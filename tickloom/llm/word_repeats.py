@@ -87,3 +87,15 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: boo
 
 def op9_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+starts AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS earliest FROM windows) WHERE earliest < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT words.doc_id, words.i, word, max(starts.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) AS last
+  FROM words LEFT JOIN starts ON starts.doc_id = words.doc_id AND starts.i = words.i),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS rest FROM marked WHERE last IS NULL OR i - last >= 13 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
