@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import fresh, partitions, table, written
+from ._spark import discard, fresh, partitions, table, written
 from ._text import U64, RangeHash, buffers, concatenated, constants, mix64, slices, word_bounds, word_hashes
 
 WORDS = 5
@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
     (a, b).  Labels pass along the edges and then jump to their label's label,
     until none changes; every round is written, and nothing is collected."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    last = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    label = last
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
@@ -226,7 +227,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(step, "labels")
         changed = step.where("root <> old").limit(1).count()
         label = step.select("node", "root")
+        discard(last)
+        last = step
         if not changed:
+            discard(both)
             return label
 
 
@@ -299,12 +303,13 @@ def _classes(docs: DataFrame, signatures: DataFrame, text: str, key: str, thresh
     if not left.isEmpty():
         live = written(_prefixes(texts, left, threshold), "prefixes")
         live = live.join(live.groupBy("unit").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "unit").join(root, "node")
-        checked, count = pairs, 16
+        checked, count, used = pairs, 16, ()
         while True:
             several = live.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("unit")
             live = live.join(several, "unit")
             same = live.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("same"))
-            live = written(live.join(same, ["unit", "root"]), "live")
+            last, live = used, written(live.join(same, ["unit", "root"]), "live")
+            discard(*last)
             if live.isEmpty():
                 break
             order = Window.partitionBy("unit").orderBy("same", "place", "node")
@@ -316,6 +321,7 @@ def _classes(docs: DataFrame, signatures: DataFrame, text: str, key: str, thresh
             found = written(verified(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")), texts, "text", "node", threshold), "checked")
             checked = checked.union(pairs)
             root = _joined(root, found)
+            used = (live, c, found)
             live = live.join(c.select("unit", F.col("centre").alias("node")), ["unit", "node"], "left_anti").drop("root", "same").join(root, "node")
             count = min(CENTRES, 16 * count)
     of = nodes.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
