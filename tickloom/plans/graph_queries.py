@@ -206,8 +206,17 @@ def source_keyed_bundle(spark, d):
     return e.select("event_id", F.col("key").alias("user_id"), "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
-@query()
+# A timer starts at a purchase that finds the gate open and no timer running; sends are views, and timers that end while it is open.
+@query(f"""WITH RECURSIVE {EVENTS}, o AS (SELECT *, row_number() OVER {W} AS p FROM e WHERE event_type IN ('click', 'view', 'purchase')),
+r AS (SELECT user_id, p, us, event_type AS kind, event_type = 'view' AS open, NULL::BIGINT AS due, NULL::BIGINT AS fired FROM o WHERE p = 1
+UNION ALL SELECT user_id, p, us, kind, open, CASE WHEN kind = 'purchase' AND open AND due IS NULL THEN us + 3600000000 ELSE due END, fired FROM (
+SELECT o.user_id, o.p, o.us, o.event_type AS kind, CASE o.event_type WHEN 'view' THEN true WHEN 'click' THEN false ELSE r.open END AS open, CASE WHEN r.due >= o.us THEN r.due END AS due, CASE WHEN r.due < o.us AND r.open THEN r.due END AS fired
+FROM r JOIN o ON o.user_id = r.user_id AND o.p = r.p + 1)),
+s AS (SELECT user_id, us AS at_us FROM r WHERE kind = 'view' UNION SELECT user_id, fired FROM r WHERE fired IS NOT NULL UNION SELECT user_id, due FROM r WHERE open AND due IS NOT NULL AND p = (SELECT max(p) FROM o WHERE o.user_id = r.user_id)),
+v AS (SELECT o.user_id, o.us, o.event_id, o.cents, min(at_us) AS at_us FROM o JOIN s ON s.user_id = o.user_id AND s.at_us >= o.us WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT user_id, at_us AS us, string_agg(cents, ',' ORDER BY us, event_id) AS sent FROM v GROUP BY user_id, at_us""")
 def stream_batch(spark, d):
     e = events(spark, d).withColumn("ts", F.timestamp_micros("us"))
     open_ = e.where("event_type IN ('click', 'view')").select("user_id", "ts", "event_id", (F.col("event_type") == "view").alias("open"))
-    return fold.batch(open_, e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "cents"), TS, "open", "cents", 3_600_000_000)
+    b = fold.batch(open_, e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "cents"), TS, "open", "cents", 3_600_000_000)
+    return b.select("user_id", F.unix_micros("ts").alias("us"), F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("sent"))
