@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .names import free
 from .streams import Order
 
 ROWS = 4096
@@ -167,6 +168,33 @@ def running_in_blocks(s: DataFrame, order: Order, micros: int, **sums: str) -> D
     return joined.select(*[c for c in s.columns if c != "__b"], *[whole(n).alias(n) for n in sums])
 
 
+def lag_in_blocks(s: DataFrame, order: Order, micros: int, value: str, name: str = "before") -> DataFrame:
+    """Each tick with the value of the tick before (null at a key's first), for
+    keys too hot for one task: a window within each block of `micros`, and the
+    last value of each block, by partial aggregation, carried to the next one."""
+    time = order.by[0]
+    us = F.col(time) if dict(s.dtypes)[time] == "bigint" else F.unix_micros(F.col(time).cast("timestamp"))
+    block, first, carried, *names = free(s, count=4 + len(order.keys), other=[name])
+    s = s.withColumn(block, F.floor(us / micros).cast("long"))
+    at = [*order.keys, block]
+    last = s.groupBy(*at).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order.by)).alias(carried))
+    last = last.withColumn(carried, F.lag(carried).over(Window.partitionBy(*order.keys).orderBy(block)))
+    last = last.select(*[F.col(k).alias(n) for k, n in zip(at, names, strict=True)], carried)
+    same = F.lit(True)
+    for k, n in zip(at, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inside = order.window(block)
+    out = s.withColumns({name: F.lag(value).over(inside), first: F.row_number().over(inside) == 1}).join(last, same, "left")
+    return out.withColumn(name, F.when(F.col(first), F.col(carried)["v"]).otherwise(F.col(name))).drop(block, first, carried, *names)
+
+
+def dedup_in_blocks(s: DataFrame, order: Order, micros: int, value: str) -> DataFrame:
+    """`streams.dedup` for keys too hot for one task; null is not a value here, so ticks without one go."""
+    (before,) = free(s)
+    out = lag_in_blocks(s.where(F.col(value).isNotNull()), order, micros, value, before)
+    return out.where(F.col(before).isNull() | (F.col(before) != F.col(value))).drop(before)
+
+
 def feedback(s: DataFrame, order: Order, value: str, function: Callable, initial, field: T.StructField) -> DataFrame:
     """Each tick with function(value, the output of the tick before), from `initial` on."""
 

@@ -157,6 +157,16 @@ def running_forms(spark, d):
     return out(e, "n", "total", "mean")
 
 
+@query(f"WITH {EVENTS} SELECT event_id, user_id, lag(cents) OVER {W} AS before FROM e")
+def lag_in_blocks(spark, d):
+    return out(fold.lag_in_blocks(events(spark, d), U, 86_400_000_000, "cents"), "before")
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT *, lag(event_type) OVER {W} AS b FROM e) SELECT event_id, user_id, event_type FROM w WHERE b IS NULL OR b <> event_type")
+def dedup_in_blocks(spark, d):
+    return out(fold.dedup_in_blocks(events(spark, d), U, 86_400_000_000, "event_type"), "event_type")
+
+
 # Dictionaries.
 
 
