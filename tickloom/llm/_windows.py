@@ -48,8 +48,8 @@ CAP = 1024
 CHUNK = 2 << 20
 #: A minimiser is hot if it holds more than 1 / (HOT * partitions) of the sampled runs: fewer than HOT * partitions are.
 HOT = 4
-#: Bytes of text in the sample for each partition.
-SAMPLE = 256 << 10
+#: Bytes of text in the sample: at least so many, or this share of the whole.
+SAMPLE, SAMPLE_SHARE = 8 << 20, 1 / 1024
 SALTS = 64
 LAST = (1 << 63) - 1  # stands for a null identifier: after all others
 _LOW = U64((1 << 24) - 1)
@@ -213,10 +213,10 @@ def tag_of(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 5), 16, 10).cast("int")
 
 
-def hot_minimisers(docs: DataFrame, base: DataFrame, kind: Kind, text: str, key: str, n_parts: int) -> np.ndarray:
-    """The minimisers that hold a large share of a sample's runs, in order; fewer than HOT * n_parts."""
-    total = base.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = max(1, int(total // (SAMPLE * n_parts)))
+def hot_minimisers(docs: DataFrame, total: int, kind: Kind, text: str, key: str, n_parts: int) -> np.ndarray:
+    """The minimisers that hold a large share of a sample's runs, in order; fewer
+    than HOT * n_parts.  total: bytes of all texts."""
+    parts = max(1, int(total / max(SAMPLE, total * SAMPLE_SHARE)))
 
     def scan(batches):
         import pyarrow as pa
@@ -256,14 +256,15 @@ def repeats(docs: DataFrame, kind: Kind, text: str = "text", key: str = "doc_id"
     whole = F.coalesce(F.col(text), F.lit(""))
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     base = written(docs.select(doc.alias("doc"), F.sha2(whole, 256).alias("sha"), F.octet_length(whole).cast("long").alias("n_bytes")), "texts")
-    rep = base.groupBy("sha").agg(F.min("doc").alias("rep"))
+    rep = base.groupBy("sha").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     wanted = rep.select(F.col("rep").alias("doc"), tag_of(F.col("sha")).alias("tag"))
     d = docs.select(doc.alias("doc"), tag_of(F.sha2(whole, 256)).alias("tag"), whole.alias("text")).repartition(n_parts, "doc", "tag")
     d = d.join(wanted, ["doc", "tag"])
     if base.groupBy("doc", "sha").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
         d = d.groupBy("doc", "tag").agg(F.first("text").alias("text"))
 
-    hot = hot_minimisers(docs, base, kind, text, key, n_parts)
+    hot = hot_minimisers(docs, total, kind, text, key, n_parts)
 
     def scan(batches):
         import pyarrow as pa
@@ -361,7 +362,10 @@ def repeats(docs: DataFrame, kind: Kind, text: str = "text", key: str = "doc_id"
 
     found = sent.mapInArrow(judge, "doc long, tag int, start long, n int")
     spans = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return base.join(rep, "sha"), d, spans
+    # texts with very many copies, fewer than HOT * n_parts, do not meet in one task
+    often = F.broadcast(rep.where(F.col("copies") > max(16, rows // (HOT * n_parts))).select("sha", "rep"))
+    named = base.join(often, "sha").unionByName(base.join(often, "sha", "left_anti").join(rep.select("sha", "rep"), "sha"))
+    return named, d, spans
 
 
 def joined(start: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int]]:
