@@ -35,7 +35,7 @@ any name, are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import partitions, table
@@ -46,6 +46,8 @@ ALPHA = 0.4
 CHUNK_BYTES = 10 << 20
 #: n-gram occurrences of one hash partition, on average.
 BUCKET_GRAMS = 2_000_000
+#: Chunks of a partition from which on no care is taken to deal them out evenly; below, their numbers are broadcast.
+EVEN = 16
 #: Bytes that are cut into words at once; they stay in the processor's cache.
 SLICE = 1 << 17
 _PLACE = constants(64, 71)
@@ -114,6 +116,15 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(buckets)) >> U64(32)
 
 
+def dealt_evenly(spark: SparkSession, n: int, parts: int) -> DataFrame:
+    """i from 0 to n - 1, and a number for each (`chunk`) such that Spark's hash
+    partitioning deals these out evenly over the partitions."""
+    tries = spark.range(16 * (n + parts)).select(F.col("id").alias("chunk"), F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+    tries = tries.withColumn("turn", F.row_number().over(Window.partitionBy("part").orderBy("chunk")))
+    tries = tries.where(F.col("turn") <= -(-n // parts)).withColumn("i", F.row_number().over(Window.orderBy("turn", "part")) - 1)
+    return tries.where(F.col("i") < n).select(F.col("i").cast("long").alias("i"), "chunk")
+
+
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row."""
     spark = docs.sparkSession
@@ -122,7 +133,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     chunks, n_words = max(1, round((size["b"] or 0) / chunk_bytes)), int(size["w"] or 0)
     buckets = max(n_parts, -(-n_words * 2 // bucket_grams))
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(n_parts, "chunk")
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    if chunks < EVEN * n_parts:  # so few for a partition that chance alone would deal them out unevenly
+        d = d.withColumnRenamed("chunk", "i").join(F.broadcast(dealt_evenly(spark, chunks, n_parts)), "i").drop("i")
+    d = d.repartition(n_parts, "chunk")
     packed = "bucket int, chunk long, grams binary, counts binary"
 
     def table_rows(chunk: int, flat: np.ndarray):
