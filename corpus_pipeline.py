@@ -13,6 +13,9 @@ identifier of the class; a null identifier stays only where no other row of its
 group has one.  Rows that repeat identifier and text are one row from the
 second stage on.  Very long texts pass whole.  The mixture repeats and leaves
 out whole rows.  An empty table gives an empty result.
+
+The stages with Python workers hand over Arrow batches of 4 MB at most, by a
+setting of the session, unless the session has a limit of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from tickloom.llm._spark import table, written
+from tickloom.llm._spark import small_batches, table, written
 
 #: A text is rejected if its language is undetermined or less likely than this.
 LEAST_SCORE = 0.5
@@ -28,6 +31,7 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; the model learns from the same rows."""
+    small_batches(spark)
     return language_id.known(docs, language_id.train(docs), LEAST_SCORE)
 
 
@@ -36,6 +40,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.one_of_each(docs)
 
 
@@ -46,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    small_batches(spark)
     return bpe.round_trip(docs)
 
 

@@ -12,7 +12,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from tickloom.llm import bpe, byte_repeats, catalogue, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
+from pyspark.sql import types as T
+from tickloom.llm import _spark, bpe, byte_repeats, catalogue, exact_dedup, language_id, lm_scoring, media_ts, mixing, near_dedup, toxicity, word_repeats
 from tickloom.llm._windows import refine, runs_of
 
 from . import fixtures as X
@@ -490,3 +491,54 @@ def test_pipeline(spark):
         assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and got
         assert name == "bpe" or docs.columns == columns
         rows = got
+
+
+def test_pipeline_batches_are_small(spark):
+    """The stages with Python workers hand over small Arrow batches; a limit of the session's own holds."""
+    import corpus_pipeline as p
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    d = spark.range(0, 8000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text", "'en' AS lang")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    try:
+        for stage in ("language_id", "near_dedup", "bpe"):
+            spark.conf.unset(name)
+            dict(p.STAGES)[stage](spark, d, "")
+            assert max(r.n for r in d.mapInArrow(sizes, "n long").collect()) < 5 << 20
+        spark.conf.set(name, "1m")
+        dict(p.STAGES)["bpe"](spark, d, "")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_driver_rows_pass_no_python_workers(spark):
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType()), T.StructField("c", T.ArrayType(T.IntegerType()))])
+    rows = [("x", 1, [1, 2]), (None, None, []), ("y", 3, None)]
+    assert [tuple(r) for r in _spark.local(spark, rows, schema).collect()] == rows
+    assert _spark.local(spark, [], schema).collect() == [] and _spark.local(spark, [], schema).schema == schema
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert "ExistingRDD" not in mixing.mix(d)._jdf.queryExecution().toString()
+
+
+def test_freed_memory_goes_back():
+    held = []
+
+    def anonymous():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon"))
+
+    def run(batches):
+        for _ in batches:
+            parts = [np.ones(500) for _ in range(40_000)]
+            held.append(np.ones(500))  # keeps the top of the heap
+            yield len(parts)
+
+    before = anonymous()
+    assert list(_spark.giving_back(run)(iter([0]))) == [40_000]
+    assert anonymous() - before < 40_000

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +70,49 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of an Arrow batch at most where the session names no limit.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have `BATCH_BYTES` at most (a longer
+    row is one batch), unless a limit is set: executor and Python worker each
+    hold a batch and its copies for every task, outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A frame of rows of the driver, through Arrow: through pickles they would
+    pass Python workers on the executors, which stay there beside the others."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
+
+
+def give_back() -> None:
+    """Return what is freed to the system: the allocators of a process keep it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function of a task's batches, and after its last batch `give_back`:
+    a Python worker lives on, idle or in other stages, beside those that work."""
+
+    @wraps(run)
+    def f(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return f

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import giving_back, table
 from ._text import concatenated, row_slices
 
 #: Entries of each cache of a worker; a full cache is emptied.
@@ -404,7 +404,7 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
 
     kind = dict(docs.dtypes)[key]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(giving_back(run), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

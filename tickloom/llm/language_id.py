@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import table
+from ._spark import giving_back, local, table
 from ._text import U64, codepoints, concatenated, mix64, row_slices, runs, stretch, sums_by_row
 
 PER_LANG = 400
@@ -46,6 +46,9 @@ SCALE = 1e6
 ROUNDS = 4
 FLOOR = 0.1
 START = "▁"
+#: Bytes of the texts that are scored at once, or one longer text.
+SLICE = 1 << 20
+_SHARES = T.StructType([T.StructField("s_l", T.StringType()), T.StructField("share", T.LongType())])
 _PLACE = mix64(np.arange(1, 64, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -271,7 +274,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not counts:
         return None
     each, wide = max(1, min(PER_LANG, SAMPLE_ROWS // len(counts))), 1 << 30
-    shares = docs.sparkSession.createDataFrame([(r["l"], int(min(1.0, 1.5 * each / r["n"]) * wide)) for r in counts], "s_l string, share long")
+    shares = local(docs.sparkSession, [(r["l"], int(min(1.0, 1.5 * each / r["n"]) * wide)) for r in counts], _SHARES)
     rows = d.join(F.broadcast(shares), F.col("l") == F.col("s_l")).where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(wide)) < F.col("share"))
     rows = rows.select("k", "l", stretch(F.col("t"), F.col("k"), SAMPLE_CHARS).alias("t")).orderBy(F.xxhash64("k", F.lit(6)), "k", "t").limit(2 * each * len(counts)).collect()
     taken: dict[str, int] = {}
@@ -288,7 +291,7 @@ def _predicted(batches, model: Model | None, text: str):
     code = model.code() if model else None
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
-        for lo, hi in row_slices(column, 2 << 20):
+        for lo, hi in row_slices(column, SLICE):
             yield batch.slice(lo, hi - lo), *predict(model, column.slice(lo, hi - lo).to_pylist(), code)
 
 
@@ -302,7 +305,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, T.StructType([d.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return d.mapInArrow(giving_back(run), T.StructType([d.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def known(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
@@ -314,7 +317,7 @@ def known(docs: DataFrame, model: Model | None, least: float, text: str = "text"
         for rows, best, score in _predicted(batches, model, text):
             yield rows.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

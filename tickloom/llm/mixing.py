@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import fresh, partitions, table, written
+from ._spark import fresh, local, partitions, table, written
 
 BLOCKS = 4096
 SHARDS = 16
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
     total = max(1, sum(sizes))
     blocks = [max(1, round(BLOCKS * s / total)) for s in sizes]
-    d = d.join(F.broadcast(spark.createDataFrame(list(zip(names, blocks, strict=True)), _COUNTS)), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    d = d.join(F.broadcast(local(spark, list(zip(names, blocks, strict=True)), _COUNTS)), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     d = d.withColumn("block", F.pmod("u", F.col("p_blocks"))).drop("p_blocks")
     held: dict = {name: [] for name in names}
     for r in d.groupBy("source", "block").agg(F.sum("size").alias("s")).collect():  # at most BLOCKS * 1.5 + sources rows
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     for k, (name, own) in enumerate(zip(names, draws, strict=True)):
         for b, shard in zip(own, np.repeat(np.arange(shards), dealt[:, k]), strict=True):
             at[name, b].append(int(shard))
-    plan = spark.createDataFrame([tuple(p) for p in plan], _PLAN)
+    plan = local(spark, [tuple(p) for p in plan], _PLAN)
     d = d.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
     # a block is taken once for each of its draws that the tree dealt to a shard, the cut one of a source in part
     whole = F.size("shards") * F.col("size")

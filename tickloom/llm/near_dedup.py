@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import discard, fresh, partitions, table, written
+from ._spark import discard, fresh, giving_back, partitions, table, written
 from ._text import U64, RangeHash, buffers, concatenated, constants, mix64, slices, word_bounds, word_hashes
 
 WORDS = 5
@@ -158,7 +158,7 @@ def signed(docs: DataFrame, text: str, key: str, bands: int = BANDS, rows: int =
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], ["doc_id", "h1", "h2", "bands"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {dict(docs.dtypes)[key]}, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(giving_back(run), f"doc_id {dict(docs.dtypes)[key]}, h1 long, h2 long, bands array<long>")
 
 
 def verified(edges: DataFrame, docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
@@ -187,7 +187,7 @@ def verified(edges: DataFrame, docs: DataFrame, text: str, key: str, threshold:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(4)), sets], ["node", "centre", "part", "other", "units"])
 
     kind = dict(edges.dtypes)["node"]
-    rows = rows.select("node", "centre", "part", "other", "text").mapInArrow(packed, f"node {kind}, centre {kind}, part int, other int, units binary")
+    rows = rows.select("node", "centre", "part", "other", "text").mapInArrow(giving_back(packed), f"node {kind}, centre {kind}, part int, other int, units binary")
     rows = rows.repartition(partitions(spark), "centre", "part").sortWithinPartitions("centre", "part", "other")
 
     def compare(batches):
@@ -208,7 +208,7 @@ def verified(edges: DataFrame, docs: DataFrame, text: str, key: str, threshold:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, batch.schema[0].type), pa.array(centres, batch.schema[1].type), pa.array(score, pa.float64())], ["node", "centre", "similarity"])
 
-    out = rows.mapInArrow(compare, f"node {kind}, centre {kind}, similarity double")
+    out = rows.mapInArrow(giving_back(compare), f"node {kind}, centre {kind}, similarity double")
     return out.withColumn("link", F.col("similarity") >= threshold)
 
 
@@ -276,7 +276,7 @@ def _prefixes(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.repeat(n, n).astype(np.int32)), pa.array(u.view(np.int64))], ["node", "n", "unit"])
 
     kind = dict(nodes.dtypes)["node"]
-    u = written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, f"node {kind}, n int, unit long"), "units")
+    u = written(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(giving_back(run), f"node {kind}, n int, unit long"), "units")
     often = u.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     u = u.join(often, "unit", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     u = u.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "unit")) - 1)
